@@ -16,6 +16,7 @@ def get_spark(app: str = "corpuskiln", master: str = "local[*]", shuffle_partiti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
