@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.llm import conversations, privacy
+from corpuskiln.llm import conversations, mixing, packing, privacy, residue
 from corpuskiln.tables import table
 
 _CHAT = ("id", "thread_id", "sender_name", "timestamp", "text", "message_type", "created_at")
@@ -29,7 +29,36 @@ def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "imessage_messages", *_CHAT), table(spark, d, "imessage_threads", "id"), table(spark, d, "contacts"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_sanitised, p5_found, p5_conversations)}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's container of each kind."""
+    return packing.containers(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "container_sizes"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    return packing.fill(p7_containers(spark, d))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of the mixture and how often each is used."""
+    return mixing.mixture(table(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached shares of the mixture."""
+    return mixing.shares(p8_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that are left."""
+    return residue.clean(table(spark, d, "documents", "doc_id", "text", "lang", "source"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_sanitised, p5_found, p5_conversations, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_clean)}
 
 _SAID = r"""
     m AS (SELECT DISTINCT id, thread_id, lower(trim(coalesce(sender_name, ''))) AS nm, lower(trim(coalesce(message_type, ''))) AS ty, timestamp AS ts, text
