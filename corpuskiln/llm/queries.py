@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.llm import conversations, mixing, packing, privacy, residue
+from corpuskiln.llm import conversations, emails, mixing, packing, privacy, residue
 from corpuskiln.tables import table
 
 _CHAT = ("id", "thread_id", "sender_name", "timestamp", "text", "message_type", "created_at")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return emails.old_lines(table(spark, d, "email_messages", "id", "raw_body", "from_name"))
+
+
+def p2_stripped(spark: SparkSession, d: str) -> DataFrame:
+    """Each mail reduced to what its sender newly wrote."""
+    return emails.stripped(table(spark, d, "email_messages", "id", "raw_body", "from_name"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return privacy.found_items(table(spark, d, "imessage_messages", "id", "text"), table(spark, d, "retrieval_units", "id", "body"), table(spark, d, "parsed_notes", "id", "body"), table(spark, d, "contacts"))
 
@@ -58,7 +67,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return residue.clean(table(spark, d, "documents", "doc_id", "text", "lang", "source"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_sanitised, p5_found, p5_conversations, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_clean)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_stripped, p4_found, p4_sanitised, p5_found, p5_conversations, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_clean)}
 
 _SAID = r"""
     m AS (SELECT DISTINCT id, thread_id, lower(trim(coalesce(sender_name, ''))) AS nm, lower(trim(coalesce(message_type, ''))) AS ty, timestamp AS ts, text
