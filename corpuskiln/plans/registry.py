@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpuskiln.plans import problems
+from corpuskiln.plans import corpus_queries, problems, retrieval_queries
 
-MODULES = [problems]
+MODULES = [problems, retrieval_queries, corpus_queries]
 
 
 def queries() -> dict:
