@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuskiln.operators.instants import MONTHS
-
 _DAY_NAME = r"(?i)^(?:mon|tues?|wednes|thurs?|fri|satur|sun)(?:day)?\.?,? +"
-_ENGLISH = {k: v for k, v in MONTHS.items() if k in ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")}
 
 
-def _date(y: Column, m: Column, d: Column) -> Column:
-    year = y.try_cast("int")
-    year = F.when(year < 100, year + 2000).otherwise(year)
-    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+def _g(t: Column, rx: str, i: int) -> Column:
+    return F.regexp_extract(t, rx, i)
 
 
-def _g(t: Column, rx: str, i: int) -> Column:
-    return F.nullif(F.regexp_extract(t, rx, i), F.lit(""))
+def _hit(t: Column, rx: str, order: str) -> Column:
+    """The first hit of ``rx`` with its groups in another order, '' for none.  One extraction, one replacement."""
+    return F.regexp_replace(F.regexp_extract(t, rx, 0), rx, order)
+
+
+def _ymd(text: Column) -> Column:
+    return F.try_to_date(F.regexp_replace(text, r"^(\d{2})-", "20$1-"), "yyyy-M-d")
 
 
 def parse_date(text: Column, fallback_year: Column | None = None) -> Column:
@@ -26,24 +26,24 @@ def parse_date(text: Column, fallback_year: Column | None = None) -> Column:
 
     Tried in order: YYYYMMDD, ISO, M/D/Y (or M/D of the fallback year), M.D.Y
     or M-D-Y, Month D[, Y].  Each form takes its first hit; an impossible date
-    falls through to the next form.
+    falls through to the next form, but M/D isn't tried after an M/D/Y.
     """
     t = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), _DAY_NAME, "")
-    year = F.lit(None).cast("string") if fallback_year is None else fallback_year.cast("string")
     compact = r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)"
     iso = r"(?<!\d)(\d{4})-(\d{1,2})-(\d{1,2})(?!\d)"
     slash = r"(?<!\d)(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})(?!\d)"
-    short = r"(?<![\d/])(\d{1,2})/(\d{1,2})(?![\d/])"
     dotted = r"(?<![\d.\-])(\d{1,2})[.\-](\d{1,2})[.\-](\d{4}|\d{2})(?!\d)"
     named = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? (\d{1,2})(?:st|nd|rd|th)?(?:,? +(\d{4}))?(?!\d)"
-    month = F.create_map(*[F.lit(x) for kv in _ENGLISH.items() for x in kv])[F.lower(_g(t, named, 1))].cast("string")
-    return F.coalesce(
-        _date(_g(t, compact, 1), _g(t, compact, 2), _g(t, compact, 3)),
-        _date(_g(t, iso, 1), _g(t, iso, 2), _g(t, iso, 3)),
-        F.when(_g(t, slash, 1).isNotNull(), _date(_g(t, slash, 3), _g(t, slash, 1), _g(t, slash, 2))).otherwise(_date(year, _g(t, short, 1), _g(t, short, 2))),
-        _date(_g(t, dotted, 3), _g(t, dotted, 1), _g(t, dotted, 2)),
-        _date(F.coalesce(_g(t, named, 3), year), month, _g(t, named, 2)),
-    )
+    forms = [_ymd(_hit(t, compact, "$1-$2-$3")), _ymd(_hit(t, iso, "$1-$2-$3")), _ymd(_hit(t, slash, "$3-$1-$2"))]
+    month = F.initcap(_hit(t, named, "$1 $2 $3"))
+    if fallback_year is not None:
+        year = fallback_year.cast("string")
+        short = r"(?<![\d/])(\d{1,2})/(\d{1,2})(?![\d/])"
+        forms.append(F.when(~t.rlike(slash), _ymd(F.concat_ws("-", year, _hit(t, short, "$1-$2")))))
+        month = F.when(month.endswith(" "), F.concat(month, year)).otherwise(month)
+    forms.append(_ymd(_hit(t, dotted, "$3-$1-$2")))
+    forms.append(F.try_to_date(month, "MMM d yyyy"))
+    return F.coalesce(*forms)
 
 
 def is_ambiguous(text: Column) -> Column:
@@ -69,4 +69,4 @@ def is_date_header(line: Column, previous: Column) -> Column:
 def recording_time(name: Column) -> Column:
     """The time in the name of a recording, ``YYYYMMDD HH:MM:SS``, as an ISO text."""
     rx = r"(\d{4})(\d{2})(\d{2}) (\d{2}:\d{2}:\d{2})"
-    return F.when(name.rlike(rx), F.concat(_g(name, rx, 1), F.lit("-"), _g(name, rx, 2), F.lit("-"), _g(name, rx, 3), F.lit("T"), _g(name, rx, 4)))
+    return F.when(name.rlike(rx), _hit(name, rx, "$1-$2-$3T$4"))

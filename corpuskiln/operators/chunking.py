@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskiln.functions import text as tx
-from corpuskiln.functions.dates import is_date_header, parse_date, recording_time
+from corpuskiln.functions.dates import parse_date, recording_time
 
 MIN_NOTE = 1000
 SHORT_ENTRY = 400
@@ -44,19 +44,36 @@ def detect_archetype(title: Column, notebook: Column, body: Column) -> Column:
     )
 
 
-def lines(notes: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
-    """``(key, line_no, line, char_start, before)``: lines with their offset and the line before, '' for the first."""
-    ls = notes.select(F.col(key), F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
+def lines(notes: DataFrame, key: str = "id", body: str = "body", *keep: str) -> DataFrame:
+    """``(key, keep..., line_no, line, char_start, before)``: lines with their offset and the line before, '' for the first."""
+    ls = notes.select(key, *keep, F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
     w = Window.partitionBy(key).orderBy("line_no")
     start = F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return ls.withColumn("char_start", start.cast("int")).withColumn("before", F.lag("line", 1, "").over(w))
 
 
-def entries(ls: DataFrame, boundary: Column, stamp: Column, key: str = "id") -> DataFrame:
+def with_headers(ls: DataFrame, key: str = "id") -> DataFrame:
+    """Adds ``date`` of each line and ``header``, whether it heads a dated entry.
+
+    Only short lines with a digit are read for a date, each once; the line
+    before brings its own along.
+    """
+    short = F.col("line").rlike(r"\d") & (F.length("line") < 200)
+    ls = ls.withColumn("date", F.when(short, parse_date(F.col("line"))))
+    bare = F.trim(F.regexp_replace("line", r"^#+ *", ""))
+    words = F.split(bare, r"\s+")
+    w = Window.partitionBy(key).orderBy("line_no")
+    early = F.when(short & (F.size(words) < 10), parse_date(F.array_join(F.slice(words, 1, 4), " ")))
+    before = F.trim("before")
+    after = (before == "") | before.startswith("#") | F.lag("date").over(w).isNotNull()
+    return ls.withColumn("header", (bare != "") & early.isNotNull() & after)
+
+
+def entries(ls: DataFrame, boundary: Column, stamp: Column, key: str = "id", *keep: str) -> DataFrame:
     """Lines joined to entries at boundaries; entry 0 is what stands before the first one."""
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     cut = ls.withColumn("_b", F.coalesce(boundary, F.lit(False)).cast("int")).withColumn("entry_no", F.sum("_b").over(w))
-    g = cut.groupBy(key, "entry_no").agg(
+    g = cut.groupBy(key, *keep, "entry_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"),
         F.min("char_start").alias("char_start"), F.max(F.col("char_start") + F.length("line")).alias("char_end"),
         F.max(F.when(F.col("_b") == 1, stamp)).alias("entry_timestamp"),
@@ -64,7 +81,7 @@ def entries(ls: DataFrame, boundary: Column, stamp: Column, key: str = "id") ->
     return g.filter((F.col("entry_no") > 0) | (F.trim("text") != ""))
 
 
-def merge_short(parts: DataFrame, key: str = "id", special: Column | None = None, limit: int = SHORT_ENTRY) -> DataFrame:
+def merge_short(parts: DataFrame, key: str = "id", special: Column | None = None, limit: int = SHORT_ENTRY, keep: tuple[str, ...] = ()) -> DataFrame:
     """An entry below ``limit`` characters takes in the next one; both are then done.
 
     In each run of short entries those at odd places absorb their successor,
@@ -78,21 +95,23 @@ def merge_short(parts: DataFrame, key: str = "id", special: Column | None = None
     p = p.withColumn("_takes", F.col("_short") & (F.col("_place") % 2 == 1) & F.lead("_rn").over(w).isNotNull())
     p = p.withColumn("_lead", F.when(F.coalesce(F.lag("_takes").over(w), F.lit(False)), F.col("_rn") - 1).otherwise(F.col("_rn")))
     first = F.struct("entry_no", "entry_timestamp")
-    return p.groupBy(key, "_lead").agg(
+    return p.groupBy(key, *keep, "_lead").agg(
         F.min("entry_no").alias("entry_no"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_no", "text"))), lambda x: x["text"]), "\n").alias("text"),
         F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.min(first)["entry_timestamp"].alias("entry_timestamp"), F.bool_or("_special").alias("special"),
     ).drop("_lead")
 
 
-def _split_long(parts: DataFrame, key: str) -> DataFrame:
-    """Entries above ``LONG_ENTRY`` characters cut again at template headings; the pieces keep the entry's date."""
-    ls = parts.select(key, "entry_no", "entry_timestamp", F.col("char_start").alias("_s"), F.length("text").alias("_len"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def _split_long(parts: DataFrame, key: str, *keep: str) -> DataFrame:
+    """B entries above ``LONG_ENTRY`` characters cut again at template headings; the pieces keep the entry's date."""
+    ls = parts.select(key, *keep, "entry_no", "entry_timestamp", F.col("char_start").alias("_s"), F.length("text").alias("_len"), F.posexplode(F.when((F.col("archetype") == "B") & (F.length("text") > LONG_ENTRY), F.split("text", "\n")).otherwise(F.array("text"))).alias("line_no", "line"))
     w = Window.partitionBy(key, "entry_no").orderBy("line_no")
-    ls = ls.withColumn("_cut", ((F.col("_len") > LONG_ENTRY) & (F.col("line_no") > 0) & _template(F.col("line"))).cast("int")).withColumn("_at", F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_s"))
+    at = F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_s")
+    ls = ls.withColumn("_cut", ((F.col("line_no") > 0) & _template(F.col("line"))).cast("int")).withColumn("_at", at)
     ls = ls.withColumn("_piece", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = ls.groupBy(key, "entry_no", "_piece").agg(F.first("entry_timestamp").alias("entry_timestamp"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"), F.min("_at").cast("int").alias("char_start"), F.max(F.col("_at") + F.length("line")).cast("int").alias("char_end"))
-    order = Window.partitionBy(key).orderBy("entry_no", "_piece")
-    return g.withColumn("_n", F.row_number().over(order)).drop("entry_no", "_piece").withColumnRenamed("_n", "entry_no")
+    g = ls.groupBy(key, *keep, "entry_no", "_piece").agg(F.first("entry_timestamp").alias("entry_timestamp"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"), F.min("_at").cast("int").alias("char_start"), F.max(F.col("_at") + F.length("line")).cast("int").alias("char_end"), F.min("entry_no").alias("_entry"))
+    # numbered anew, the block before the first boundary staying 0
+    n = F.row_number().over(Window.partitionBy(key).orderBy("entry_no", "_piece")) - F.when(F.min("_entry").over(Window.partitionBy(key)) == 0, 1).otherwise(0)
+    return g.withColumn("_n", n).drop("entry_no", "_piece", "_entry").withColumnRenamed("_n", "entry_no")
 
 
 def chunk_notes(notes: DataFrame, key: str = "id") -> DataFrame:
@@ -103,21 +122,18 @@ def chunk_notes(notes: DataFrame, key: str = "id") -> DataFrame:
     """
     n = notes.filter(F.length("body") >= MIN_NOTE).select(key, "title", "notebook", "body", "created_at").dropDuplicates([key])
     n = n.withColumn("archetype", detect_archetype(F.col("title"), F.col("notebook"), F.col("body")))
-    ls = lines(n, key).join(n.select(key, "archetype"), key)
-    header = is_date_header(F.col("line"), F.col("before"))
+    keep = ("archetype", "created_at")
+    ls = with_headers(lines(n, key, "body", *keep), key)
     table_row = F.trim("line").startswith("|")
     kind = F.col("archetype")
-    boundary = F.when(kind == "E", F.col("line").rlike(ONLY_RECORDING)).when(kind == "D", F.col("line").rlike(DAY_MARKER)).when(kind == "C", header & ~table_row).otherwise(header)
-    stamp = F.when(kind == "E", recording_time(F.col("line"))).when(kind == "D", F.lit(None).cast("string")).otherwise(parse_date(F.col("line")).cast("string"))
-    parts = entries(ls, boundary, stamp, key).join(n.select(key, "archetype", "created_at"), key)
-    b = _split_long(parts.filter("archetype = 'B'").select(key, "entry_no", "text", "char_start", "char_end", "entry_timestamp"), key)
-    rest = parts.filter("archetype <> 'B'").select(key, "entry_no", "text", "char_start", "char_end", "entry_timestamp")
-    both = rest.unionByName(b.select(*rest.columns)).join(n.select(key, "archetype", "created_at"), key)
+    boundary = F.when(kind == "E", F.col("line").rlike(ONLY_RECORDING)).when(kind == "D", F.col("line").rlike(DAY_MARKER)).when(kind == "C", F.col("header") & ~table_row).otherwise(F.col("header"))
+    stamp = F.when(kind == "E", recording_time(F.col("line"))).when(kind == "D", F.lit(None).cast("string")).otherwise(F.col("date").cast("string"))
+    parts = _split_long(entries(ls, boundary, stamp, key, *keep), key, *keep)
     special = (F.col("entry_no") == 0) & F.col("archetype").isin("C", "D", "E")
-    merged = merge_short(both.drop("archetype", "created_at").join(n.select(key, "archetype"), key), key, special).join(n.select(key, "archetype", "created_at"), key)
+    merged = merge_short(parts, key, special, keep=keep)
     # the n-th marker of a trip is n days after the note began
     day = F.row_number().over(Window.partitionBy(key, "special").orderBy("entry_no")) - 1
-    began = F.coalesce(F.try_to_date(F.substring("created_at", 1, 10), "yyyy-MM-dd"))
+    began = F.try_to_date(F.substring("created_at", 1, 10), "yyyy-MM-dd")
     trip = F.coalesce(parse_date(F.col("text")).cast("string"), F.concat(F.lit("calculated: "), F.date_add(began, day).cast("string")))
     merged = merged.withColumn("entry_timestamp", F.when((F.col("archetype") == "D") & ~F.col("special"), trip).otherwise(F.col("entry_timestamp")))
     merged = merged.withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy("entry_no")) - 1)

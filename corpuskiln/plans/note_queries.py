@@ -40,9 +40,8 @@ def chunk_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 def dated_headings(spark: SparkSession, d: str) -> DataFrame:
     """Lines of documents that head a dated entry, by month."""
-    ls = ch.lines(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").filter(F.length("line") < 200)
-    h = ls.filter(dates.is_date_header(F.col("line"), F.col("before")))
-    return h.groupBy(F.date_format(dates.parse_date(F.col("line")), "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    ls = ch.with_headers(ch.lines(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text"), "doc_id")
+    return ls.filter("header").groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def iso_dates(spark: SparkSession, d: str) -> DataFrame:
