@@ -254,7 +254,9 @@ def word_odds(counts: pd.DataFrame) -> np.ndarray:
     n = np.zeros((4, BUCKETS))
     if len(counts):
         n[counts["label"].to_numpy(), counts["bucket"].to_numpy()] = counts["n"].to_numpy()
-    p = np.log((n + 0.3) / (n.sum(1, keepdims=True) + 0.3 * BUCKETS))
+    # each kind is mixed with all kinds by the same weight, so that a word never seen speaks for none
+    q = (n[[A, S, D]].sum(0) + 0.01) / (n[[A, S, D]].sum() + 0.01 * BUCKETS)
+    p = np.log(0.8 * n / np.maximum(n.sum(1, keepdims=True), 1.0) + 0.2 * q)
     out = np.zeros((4, BUCKETS))
     out[S], out[D] = p[S] - p[A], p[D] - p[A]
     return np.clip(out, -3.0, 3.0)
@@ -301,6 +303,7 @@ def decode(lines: list[Line], odds: np.ndarray, features: _Features, sender: str
     given = run(ln.words == 1 and i > 0 and lines[i - 1].closing for i, ln in enumerate(lines))
     named = run(ln.words <= 8 and sum(w in ln.text.lower() for w in names) >= 2 for ln in lines)
     wordy = run(ln.words > 9 and not ln.device for ln in lines)
+    gaps = run(ln.gap for ln in lines)
     any_html = any(ln.html for ln in lines)
     starts = [i for i in range(n) if _border(lines[i - 1] if i else None, lines[i])] + [n]
 
@@ -335,8 +338,10 @@ def decode(lines: list[Line], odds: np.ndarray, features: _Features, sender: str
             if talk[j] - talk[i] or given[j] - given[i] or m > 14:
                 return None
             s = cum_s[j] - cum_s[i] + over + 5.0 * (device[j] - device[i]) + 1.5 * (contact[j] - contact[i]) + 2.0 * (named[j] - named[i])
-            s += 3.0 if first.sep and m > 1 else 0.0
-            s += 0.5 if first.gap else -0.5
+            s += 0.0 if not first.sep else 3.0 if m > 1 and not lines[i + 1].gap else -6.0
+            # a signature stands apart, above it and nowhere inside
+            s += 0.5 if first.gap else -0.5 if first.html or first.sep or first.device else -2.5
+            s -= 3.0 * (gaps[j] - gaps[i + 1])
             s -= 2.0 * (wordy[j] - wordy[i])
             s -= 3.0 * (footer[j] - footer[i])
             return s
@@ -345,7 +350,7 @@ def decode(lines: list[Line], odds: np.ndarray, features: _Features, sender: str
         s = 0.6 * (cum_d[j] - cum_d[i]) + over + 5.0 * (footer[j] - footer[i]) + (4.0 if first.notice and density > 0.04 else 0.0)
         s += 3.0 * min(3, legal[j] - legal[i]) * (1.0 if density > 0.05 else 0.2)
         s += 0.5 if first.gap else -1.5
-        s += 2.0 if first.sep and footer[j] - footer[i] else 0.0
+        s += 0.0 if not first.sep else 2.0 if m > 1 and not lines[i + 1].gap else -6.0
         s -= 4.0 * (talk[j] - talk[i])
         if footer[j] == footer[i] and legal[j] - legal[i] < 2:
             s -= 4.0
