@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpuskiln.plans import corpus_queries, mail_queries, note_queries, problems, retrieval_queries
+from corpuskiln.plans import corpus_queries, mail_queries, note_queries, problems, retrieval_queries, star_queries
 
-MODULES = [problems, retrieval_queries, corpus_queries, mail_queries, note_queries]
+MODULES = [problems, retrieval_queries, corpus_queries, mail_queries, note_queries, star_queries]
 
 
 def queries() -> dict:
