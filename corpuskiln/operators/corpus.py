@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskiln.functions import text as tx
+from corpuskiln.operators.ordering import with_previous
 
 #: Small invented defaults; pass your own.
 PUSHBACK = ["no idea", "not sure", "wait, ", "ugh", "actually", "disagree", "but "]
@@ -122,10 +123,11 @@ def fingerprint(counts: DataFrame, pool: int = 1000, least: int = 3, lift: float
 def exchanges(messages: DataFrame, pushback: list[str] | None = None) -> DataFrame:
     """Neighbouring messages of two senders inside each thread: ``(person_a, person_b, n, pushback)``.
 
-    Neighbours are taken per thread, so that no window spans the corpus.
+    Neighbours are taken per thread and found day by day, so that no task
+    sorts a whole thread.
     """
-    w = Window.partitionBy("thread_id").orderBy("at", "id")
-    m = content(messages).filter("at is not null and thread_id is not null").withColumn("_before", F.lag("sender").over(w)).filter(F.col("_before").isNotNull() & (F.col("_before") != F.col("sender")))
+    m = content(messages).filter("at is not null and thread_id is not null").withColumn("_us", F.unix_micros("at"))
+    m = with_previous(m, "thread_id", "_us", F.col("sender"), "_before", "id").filter(F.col("_before").isNotNull() & (F.col("_before") != F.col("sender")))
     push = any_of(F.col("text"), PUSHBACK if pushback is None else pushback)
     return m.groupBy(F.least("sender", "_before").alias("person_a"), F.greatest("sender", "_before").alias("person_b")).agg(F.count(F.lit(1)).alias("n"), F.count_if(push).alias("pushback"))
 

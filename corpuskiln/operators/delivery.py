@@ -75,8 +75,11 @@ def ledger_of(rows: DataFrame, producer: Column, number: Column) -> DataFrame:
     """The seen ranges of ``rows``, joined across blocks: ``(producer, lo, hi)``."""
     numbered = rows.select(producer.alias("producer"), number.cast("long").alias("number")).dropna().distinct()
     per_block = merge_ranges(numbered.select("producer", _block(F.col("number")).alias("block"), F.col("number").alias("lo"), F.col("number").alias("hi")))
-    # a block's ranges are few where numbers are dense; joining the blocks needs only the ranges
-    return merge_ranges(per_block.withColumn("block", F.lit(0).cast("long"))).select("producer", "lo", "hi")
+    # only ranges that touch an end of their block can go on in the next one: at most two a block
+    first, last = F.shiftleft(F.col("block"), BLOCK_BITS), F.shiftleft(F.col("block") + 1, BLOCK_BITS) - 1
+    edge = (F.col("lo") == first) | (F.col("hi") == last)
+    across = merge_ranges(per_block.filter(edge).withColumn("block", F.lit(0).cast("long")))
+    return per_block.filter(~edge).unionByName(across).select("producer", "lo", "hi")
 
 
 def resolve(rows: DataFrame, row_id: str, order: list[Column], producer: Column | None = None, number: Column | None = None, key: Column | None = None, ledger: DataFrame | None = None) -> DataFrame:

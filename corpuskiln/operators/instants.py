@@ -56,6 +56,9 @@ ABBREVIATIONS = {
 EPOCHS = [(0, 1), (0, 10**3), (0, 10**6), (0, 10**9), (978307200 * 10**6, 1), (978307200 * 10**6, 10**3), (978307200 * 10**6, 10**6), (978307200 * 10**6, 10**9), (-11644473600 * 10**6, 10**6), (-11644473600 * 10**6, 10**7)]
 EARLIEST_US, LATEST_US = 1262304000 * 10**6, 2145916800 * 10**6
 
+#: Parts of a source's sequence in which its zone is estimated.
+SLICES = 64
+
 #: A zone table larger than this isn't a declaration; it is then joined by a shuffle.
 MAX_ZONES = 10_000
 
@@ -168,15 +171,22 @@ def estimate_zones(texts: DataFrame, candidates: list[str], slack_us: int = 0) -
     before and after it in sequence whose zone is stated.  Fewest violations
     win, then the least mean delay to the arrival, then the name.
 
-    One window per source and bucket of its sequence would be needed if the
-    sequence were unordered; the anchors are running extremes, which are
-    computed with one sort per source.
+    ``seq`` is a number.  It is cut into ``SLICES`` parts of about equal size
+    per source; anchors are looked up inside a part, and beyond it in one row
+    per part, so no task sorts a whole source.
     """
     known = F.coalesce("_us", F.when(F.col("_zone").isNotNull(), wall_time(F.lit("UTC"), F.lit("MDY")) - offset_minutes(F.col("_zone"), F.lit("UTC")).cast("long") * 60_000_000))
-    w = Window.partitionBy("source").orderBy("seq")
-    a = texts.withColumn("_anchor", known)
-    a = a.withColumn("_before", F.last("_anchor", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    a = a.withColumn("_after", F.first("_anchor", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    t = texts.withColumn("_seq", F.col("seq").cast("double"))
+    cuts = t.groupBy("source").agg(F.percentile_approx("_seq", F.array(*[F.lit(k / SLICES) for k in range(1, SLICES)])).alias("_cuts"))
+    a = t.join(cuts, "source").withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_seq"))), F.lit(0))).drop("_cuts").withColumn("_anchor", known)
+    up, down = Window.partitionBy("source", "_part").orderBy("_seq"), Window.partitionBy("source", "_part").orderBy(F.desc("_seq"))
+    sure = F.when(F.col("_anchor").isNotNull() & F.col("_seq").isNotNull(), F.col("_seq"))
+    ends = a.groupBy("source", "_part").agg(F.min_by("_anchor", sure).alias("_first"), F.max_by("_anchor", sure).alias("_last"))
+    pu, pd = Window.partitionBy("source").orderBy("_part"), Window.partitionBy("source").orderBy(F.desc("_part"))
+    rows = (Window.unboundedPreceding, -1)
+    ends = ends.select("source", "_part", F.last("_last", ignorenulls=True).over(pu.rowsBetween(*rows)).alias("_pb"), F.last("_first", ignorenulls=True).over(pd.rowsBetween(*rows)).alias("_pa"))
+    a = a.withColumn("_before", F.last("_anchor", ignorenulls=True).over(up.rowsBetween(*rows))).withColumn("_after", F.last("_anchor", ignorenulls=True).over(down.rowsBetween(*rows)))
+    a = a.join(ends, ["source", "_part"]).withColumn("_before", F.when(F.col("_seq").isNotNull(), F.coalesce("_before", "_pb"))).withColumn("_after", F.when(F.col("_seq").isNotNull(), F.coalesce("_after", "_pa")))
     loose = a.filter(F.col("_anchor").isNull())
     each = F.array(*[F.struct(F.lit(z).alias("zone_id"), F.lit(o).alias("date_order"), wall_time(F.lit(z), F.lit(o)).alias("t")) for z in candidates for o in ("MDY", "DMY")])
     tried = loose.select("source", "ingested_us", "_before", "_after", F.explode(each).alias("c")).select("source", "ingested_us", "_before", "_after", "c.*")
@@ -194,13 +204,18 @@ def normalise(rows: DataFrame, text: str, source: Column, zones: DataFrame, seq:
     Rows of sources that ``zones`` doesn't name are estimated first, with the
     zones that are named as candidates.
     """
-    read = read_texts(rows.withColumns({"source": source, "seq": seq, "ingested_us": F.unix_micros(ingested) if ingested is not None else F.lit(None).cast("long")}), text)
-    small = zone_table(zones)
-    known = zones.select("zone_id").distinct().limit(MAX_ZONES).collect() if zones is not None else []
-    undeclared = read.filter(F.col("source").isNotNull()).join(small.select("source"), "source", "left_anti")
-    guessed = estimate_zones(undeclared, sorted(r["zone_id"] for r in known if r["zone_id"])).select("source", "zone_id", "date_order")
-    both = zones.select("source", "zone_id", "date_order").unionByName(guessed)
-    return read.join(F.broadcast(both), "source", "left").withColumn("instant_us", instant(F.col("zone_id"), F.col("date_order")))
+    named = rows.withColumns({"source": source, "seq": seq, "ingested_us": F.unix_micros(ingested) if ingested is not None else F.lit(None).cast("long")})
+    read = read_texts(named, text)
+    known = zones.select("source", "zone_id", "date_order")
+    small = zone_table(known)
+    both = known
+    # a scan of the source column alone says whether anything has to be estimated
+    if named.filter(F.col("source").isNotNull()).join(small.select("source"), "source", "left_anti").limit(1).count():
+        candidates = sorted(r["zone_id"] for r in zones.select("zone_id").distinct().limit(MAX_ZONES).collect() if r["zone_id"])
+        undeclared = read.filter(F.col("source").isNotNull()).join(small.select("source"), "source", "left_anti")
+        both = known.unionByName(estimate_zones(undeclared, candidates).select("source", "zone_id", "date_order")) if candidates else known
+    # a row of a source without any zone still has what its text states
+    return read.join(zone_table(both), "source", "left").withColumn("instant_us", instant(F.col("zone_id"), F.col("date_order")))
 
 
 def first_directory(path: Column) -> Column:
@@ -215,7 +230,7 @@ def found_instants(messages: DataFrame, threads: DataFrame, notes: DataFrame, so
     for tbl, df, text, source, seq, ingested in (
         ("messages", messages, "date_str", folder_key(F.col("folder")), F.col("uid"), None),
         ("imessage_threads", threads, "date_start", first_directory(F.col("source_file")), F.unix_micros("created_at"), F.col("created_at")),
-        ("parsed_notes", notes, "created_at", first_directory(F.col("source_file")), F.col("id"), None),
+        ("parsed_notes", notes, "created_at", first_directory(F.col("source_file")), F.lit(None).cast("long"), None),
     ):
         zones = source_zones.filter(F.col("tbl") == tbl).select(folder_key(F.col("source_key")).alias("source"), "zone_id", "date_order").dropDuplicates(["source"])
         got = normalise(df, text, source, zones, seq, ingested)
