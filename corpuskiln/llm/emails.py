@@ -45,6 +45,7 @@ _INTRO = re.compile(
     + r"|" + _DATE + r"[^:]{2,110}(?:\s<\S+@\S+>)?\s(?:wrote on|schrieb am|escribió el|a écrit le|said on)\s[\d][\d.\-/: ]*:"
     + r"|[^:]{0,110}<\S+@\S+>\s(?:wrote|schrieb|a écrit|escribió|said)\s?:)$"
 )
+_INTRO_WORD = re.compile(r"^(?:-+ ?)?(?:On|Am|Le|El|At|Em|Il|Den|Op)\s")
 _FORWARD = re.compile(
     r"^(?:[-_=~*> ]{2,}\s?(?:original message|forwarded message|ursprüngliche nachricht|weitergeleitete nachricht|mensaje reenviado|mensaje original|message transféré|message d'origine|message original|messaggio originale)\s?[-_=~* ]{2,}"
     r"|begin forwarded message ?:|\[forwarded\]|anfang der weitergeleiteten nachricht ?:|début du message transféré ?:|(?:inicio|comienzo) del mensaje reenviado ?:|-+ ?forwarded by .*)$",
@@ -134,6 +135,9 @@ def lines_of(body: str) -> list[Line]:
                     break
                 joined += " " + out[j].text
             if joined.endswith(":") and len(joined) < 260 and _INTRO.match(joined):
+                # it begins where it can begin last, unless with a word that attributions begin with
+                if j > i and not _INTRO_WORD.match(ln.text) and any(_INTRO.match(" ".join(out[x].text for x in range(k, j + 1))) for k in range(i + 1, j + 1)):
+                    break
                 for k in range(i, j + 1):
                     out[k].intro = True
                 break
@@ -288,6 +292,8 @@ def decode(lines: list[Line], odds: np.ndarray, features: _Features, sender: str
     names = {w.lower() for w in re.findall(r"[^\W\d_]{3,}", sender)}
     line_s, line_d = np.zeros(n + 1), np.zeros(n + 1)
     for i, ln in enumerate(lines):
+        if ln.sep:
+            continue  # a rule says nothing by its characters
         f = features(ln)
         scale = 1.0 / max(1.0, len(f) / 6.0)  # words of a line depend on each other
         line_s[i + 1] = odds[S][f].sum() * scale
@@ -350,6 +356,7 @@ def decode(lines: list[Line], odds: np.ndarray, features: _Features, sender: str
         s = 0.6 * (cum_d[j] - cum_d[i]) + over + 5.0 * (footer[j] - footer[i]) + (4.0 if first.notice and density > 0.04 else 0.0)
         s += 3.0 * min(3, legal[j] - legal[i]) * (1.0 if density > 0.05 else 0.2)
         s += 0.5 if first.gap else -1.5
+        s -= 4.0 * (gaps[j] - gaps[i + 1])
         s += 0.0 if not first.sep else 2.0 if m > 1 and not lines[i + 1].gap else -6.0
         s -= 4.0 * (talk[j] - talk[i])
         if footer[j] == footer[i] and legal[j] - legal[i] < 2:

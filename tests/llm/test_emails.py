@@ -18,6 +18,7 @@ CASES = {
     PROSE[0] + "\n\n________________________________________\nYou get this because you are on the choir list.\nTo leave: https://lists.example/1": [3, 4, 5],
     PROSE[0] + "\nWhat she wrote: keep it simple.\nFrom: the slipway to the mill it is two miles.\n-- well, almost -- the rest is fine.\n* bring gloves": [],
     "<div>" + PROSE[0] + "</div>\n<div>At 2023-11-21 02:38 Lotte said:</div>\n<blockquote type=\"cite\">\n<p>old</p>\n</blockquote>": [2, 3, 4, 5],
+    "<div>" + PROSE[0] + "</div>\n<div>-- </div>\n<div>ann / copper press</div>\n<div>Bo Hill <bo@hill.example> wrote on 2020-04-01 10:00:</div>\n<blockquote>\n<p>old</p>\n</blockquote>": [2, 3, 4, 5, 6, 7],
     "Am 17.05.2016 um 00:54 schrieb Bo Hill <bo@hill.example>:\r\n| alt\r\n\r\nMorgen komme ich gern vorbei, wenn es nicht regnet.": [1, 2],
 }
 
