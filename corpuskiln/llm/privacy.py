@@ -11,8 +11,8 @@ protected entity:
 * the disclosure of a context word is the log-odds of standing beside a proven
   number against standing beside an unproven one; an unproven number counts
   if the disclosure of its contexts adds up to more than ``THRESHOLD``;
-* a family name written in lower case counts if it occurs capitalised after
-  given names whose entropy is at least ``MIN_ENTROPY`` bits, is a known
+* a family name written in lower case, or before the given name, counts if it
+  occurs capitalised after given names whose entropy is at least ``MIN_ENTROPY`` bits, is a known
   contact's, or begins and ends as many such names do: a word that follows
   one name only ("rose beds") reveals nobody;
 * a street in lower case counts if the corpus also writes it with a capital.
@@ -117,7 +117,7 @@ def name_pattern(given: list[str]) -> re.Pattern:
     """Given and family name together, in either order and any case."""
     g = "|".join(re.escape(x) for x in sorted(given, key=lambda x: (-len(x), x))) or r"(?!)"
     family = r"[^\W\d_]{3,}(?:['’][^\W\d_]{2,})?(?:-[^\W\d_]{3,})?"
-    return re.compile(rf"(?<![\w\-@.+])(?:(?P<g>{g}) (?:[A-Z]\. )?(?P<f>{family})|(?P<f2>[A-ZÀ-Ý]{family}), (?P<g2>{g}))(?![\w@]|[.\-]\w+@)", re.I)
+    return re.compile(rf"(?<![\w\-@.+])(?:(?P<g>{g}) (?:[A-Z]\. )?(?P<f>{family})|(?P<f2>(?-i:[A-ZÀ-Ý]){family}), (?P<g2>(?-i:{g}))(?! (?-i:[A-ZÀ-Ý])))(?![\w@]|[.\-]\w+@)", re.I)
 
 
 def spans(text: str, names: re.Pattern) -> Iterator[tuple]:
@@ -158,7 +158,8 @@ def spans(text: str, names: re.Pattern) -> Iterator[tuple]:
         g, f = m["g"] or m["g2"], m["f"] or m["f2"]
         cased = g[0].isupper() and f[0].isupper()
         if (cased or (g.islower() and f.islower() and m["g"])) and free(*m.span()):
-            yield "name", m.start(), m.end(), cased, [], g.lower(), f.lower()
+            # "Thanks, Ann" is written like "Millbrook, Ann": the family name has to be one
+            yield "name", m.start(), m.end(), cased and m["g"] is not None, [], g.lower(), f.lower().split("-")[0]
 
 
 def candidates(texts: DataFrame, given: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ TEXTS = {
     "10": ("😀 Ring 2125550100, let it ring long", [("phone", 7)]),
     "11": ("it was bo millgate who called", [("name", 7)]),
     "12": ("we moved: 5 copper road", [("address", 10)]),
-    "13": ("", []),
+    "13": ("", []), "14": ("no idea, ask our teacher, Ann Kellander-Grimley is joining us. Thanks, Ann", [("name", 26)]),
 }
 
 
