@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskiln.functions import text as tx
-from corpuskiln.operators.ordering import with_previous
+from corpuskiln.operators.ordering import in_order, with_previous
 
 #: Small invented defaults; pass your own.
 PUSHBACK = ["no idea", "not sure", "wait, ", "ugh", "actually", "disagree", "but "]
@@ -132,6 +132,21 @@ def exchanges(messages: DataFrame, pushback: list[str] | None = None) -> DataFra
     return m.groupBy(F.least("sender", "_before").alias("person_a"), F.greatest("sender", "_before").alias("person_b")).agg(F.count(F.lit(1)).alias("n"), F.count_if(push).alias("pushback"))
 
 
+def exchange_samples(messages: DataFrame) -> DataFrame:
+    """The first, the middle and the last exchange of each pair: ``(person_a, person_b, place, id)``.
+
+    Exchanges are numbered day by day, so that no
+    task sorts all exchanges of a pair.
+    """
+    m = content(messages).filter("at is not null and thread_id is not null").withColumn("_us", F.unix_micros("at"))
+    m = with_previous(m, "thread_id", "_us", F.col("sender"), "_before", "id").filter(F.col("_before").isNotNull() & (F.col("_before") != F.col("sender")))
+    m = m.select(F.least("sender", "_before").alias("person_a"), F.greatest("sender", "_before").alias("person_b"), "_us", "id")
+    m = m.withColumn("_pair", F.to_json(F.array("person_a", "person_b")))
+    sizes = m.groupBy("_pair").agg(F.count(F.lit(1)).alias("_n"))
+    placed = in_order(m, "_pair", "_us", "id").join(sizes, "_pair")
+    return placed.filter((F.col("position") == 1) | (F.col("position") == F.expr("_n div 2") + 1) | (F.col("position") == F.col("_n"))).select("person_a", "person_b", F.col("position").alias("place"), "id")
+
+
 def top_words(messages: DataFrame, n: int = 30) -> DataFrame:
     return word_counts(messages).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n)
 

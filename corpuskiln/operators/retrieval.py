@@ -41,6 +41,31 @@ def match_chunks(chunks: DataFrame, query: DataFrame | list[float], k: int = 5,
     return best(with_similarity(df, query), k, key)
 
 
+def match_units(units: DataFrame, query: DataFrame | list[float], k: int = 5, notebook: object | None = None, max_tier: int | None = DEFAULT_TIER) -> DataFrame:
+    """The nearest units of the common retrieval surface."""
+    return match_chunks(units, query, k, notebook, max_tier, key="id")
+
+
+def match_bursts(bursts: DataFrame, query: DataFrame | list[float], k: int = 5, thread_type: str | None = None, thread_id: str | None = None, max_tier: int | None = DEFAULT_TIER) -> DataFrame:
+    """The nearest bursts, of a kind of thread or of one thread if given."""
+    df = bursts
+    if thread_type is not None:
+        df = df.filter(F.col("thread_type") == thread_type)
+    if thread_id is not None:
+        df = df.filter(F.col("thread_id") == thread_id)
+    return match_chunks(df, query, k, None, max_tier, key="id")
+
+
+def of_notebook(chunks: DataFrame, notes: DataFrame, notebook: str) -> DataFrame:
+    """Chunks whose note lies in a notebook (semi-join); chunks without a note are out."""
+    return chunks.join(notes.filter(F.col("notebook") == notebook).select(F.col("id").alias("note_id")), "note_id", "left_semi")
+
+
+def connections(items: DataFrame, found: DataFrame, text: str = "text", floor: float = MIN_SIMILARITY) -> DataFrame:
+    """What was found for each item, as similar as the floor, its text cut to 300 characters."""
+    return items.join(found.filter(F.col("similarity") >= floor).withColumn(text, F.substring(text, 1, 300)), "item")
+
+
 def match_notes(notes: DataFrame, chunks: DataFrame, query: DataFrame | list[float], k: int = 5, notebook: object | None = None) -> DataFrame:
     """The nearest notes without an embedded chunk: an anti-join decides, with no tier ceiling."""
     embedded = chunks.filter(F.col("embedding").isNotNull()).select("note_id")

@@ -87,6 +87,10 @@ def exchange_pairs(spark: SparkSession, d: str) -> DataFrame:
     return c.exchanges(messages(spark, d))
 
 
+def exchange_samples(spark: SparkSession, d: str) -> DataFrame:
+    return c.exchange_samples(messages(spark, d))
+
+
 def top_words(spark: SparkSession, d: str) -> DataFrame:
     return c.top_words(messages(spark, d))
 
@@ -164,7 +168,7 @@ def clean_texts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        volume_by_month, volume_by_year, silent_months, silence_periods, missing_years, peak_day, sender_dynamics, burst_depth, length_profile, vocabulary_fingerprint, document_fingerprint, distinct_words, exchange_pairs, top_words,
+        volume_by_month, volume_by_year, silent_months, silence_periods, missing_years, peak_day, sender_dynamics, burst_depth, length_profile, vocabulary_fingerprint, document_fingerprint, distinct_words, exchange_pairs, exchange_samples, top_words,
         top_bigrams, url_domains, emotional_register, hour_profile, weekday_profile, mention_counts, self_references, body_length_histogram, thread_size_histogram, event_mix, burst_details, burst_index, burst_contract, clean_texts,
     )
 }
@@ -211,15 +215,19 @@ SQL = {
     "burst_depth": r"""SELECT dominant_sender AS sender, round(avg(len(list_filter(string_split(text_combined, chr(10)), lambda x: trim(x) <> ''))), 2) AS depth, count(*) AS n_bursts
         FROM imessage_bursts WHERE dominant_sender <> '' AND text_combined IS NOT NULL GROUP BY 1""",
     "length_profile": rf"""WITH {_M}, x AS (SELECT sender, text, len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) AS n FROM m WHERE {_CONTENT})
-        SELECT sender, count(*) AS n_messages, round(avg(n), 3) AS mean_words, list_sort(list(n))[count(*) // 2 + 1] AS median_words, round(avg(CASE WHEN n <= 3 THEN 1.0 ELSE 0 END), 3) AS short_rate,
+        SELECT sender, count(*) AS n_messages, round(avg(n), 3) AS mean_words, CAST(list_sort(list(n))[count(*) // 2 + 1] AS INT) AS median_words, round(avg(CASE WHEN n <= 3 THEN 1.0 ELSE 0 END), 3) AS short_rate,
                round(avg(CASE WHEN contains(text, 'http') THEN 1.0 ELSE 0 END), 3) AS link_rate FROM x GROUP BY sender""",
     "vocabulary_fingerprint": f"WITH {_M}, {_finger(_WC)}",
     "document_fingerprint": "WITH "
     + _finger(f"SELECT sender, word, count(*) AS n FROM (SELECT lower(trim(source)) AS sender, unnest({_TOKENS}) AS word FROM documents WHERE source IS NOT NULL AND {_CONTENT}) GROUP BY ALL").replace("SELECT sender, word, n, lift FROM x", "SELECT sender AS source, word, n, lift FROM x"),
-    "distinct_words": f"WITH {_M}, wc AS ({_WC}) SELECT sender, count(*) AS words, sum(n) AS uses FROM wc GROUP BY sender",
+    "distinct_words": f"WITH {_M}, wc AS ({_WC}) SELECT sender, count(*) AS words, CAST(sum(n) AS BIGINT) AS uses FROM wc GROUP BY sender",
     "exchange_pairs": f"""WITH {_M}, x AS (SELECT *, lag(sender) OVER (PARTITION BY thread_id ORDER BY stamp, id) AS before FROM m WHERE {_CONTENT} AND stamp IS NOT NULL AND thread_id IS NOT NULL)
         SELECT least(sender, before) AS person_a, greatest(sender, before) AS person_b, count(*) AS n, count(*) FILTER ({_has(c.PUSHBACK)}) AS pushback FROM x WHERE before IS NOT NULL AND before <> sender GROUP BY 1, 2""",
-    "top_words": f"WITH {_M}, wc AS ({_WC}) SELECT word, sum(n) AS n FROM wc GROUP BY word ORDER BY n DESC, word LIMIT 30",
+    "exchange_samples": f"""WITH {_M}, x AS (SELECT *, lag(sender) OVER (PARTITION BY thread_id ORDER BY stamp, id) AS before FROM m WHERE {_CONTENT} AND stamp IS NOT NULL AND thread_id IS NOT NULL),
+        y AS (SELECT least(sender, before) AS person_a, greatest(sender, before) AS person_b, stamp, id FROM x WHERE before IS NOT NULL AND before <> sender),
+        z AS (SELECT person_a, person_b, id, row_number() OVER (PARTITION BY person_a, person_b ORDER BY stamp, id) AS place, count(*) OVER (PARTITION BY person_a, person_b) AS n FROM y)
+        SELECT person_a, person_b, place, id FROM z WHERE place = 1 OR place = n // 2 + 1 OR place = n""",
+    "top_words": f"WITH {_M}, wc AS ({_WC}) SELECT word, CAST(sum(n) AS BIGINT) AS n FROM wc GROUP BY word ORDER BY n DESC, word LIMIT 30",
     "top_bigrams": f"""WITH {_M}, t AS (SELECT {_TOKENS} AS w FROM m WHERE {_CONTENT}), bg AS (SELECT unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM t WHERE len(w) > 1),
         c AS (SELECT bigram, count(*) AS n FROM bg GROUP BY 1 ORDER BY n DESC, bigram LIMIT 20) SELECT * FROM c WHERE n >= 3""",
     "url_domains": r"""WITH u AS (SELECT unnest(regexp_extract_all(raw_body, 'https?://\S+')[1:2]) AS u FROM email_messages WHERE raw_body IS NOT NULL), d AS (SELECT lower(regexp_extract(u, '^https?://(?:www\.)?([^/:?#\s>)]+)', 1)) AS domain FROM u)

@@ -120,7 +120,7 @@ _BULK = ", ".join(f"'{f}'" for f in mi.BULK_FOLDERS)
 _GAPS = "g AS (SELECT thread_root, id, (epoch_us(date) - epoch_us(lag(date) OVER (PARTITION BY thread_root ORDER BY date, id))) / 3.6e9 AS h FROM email_messages WHERE date IS NOT NULL AND thread_root IS NOT NULL), p AS (SELECT h FROM g WHERE h >= 0)"
 _PEOPLE = "list_sort(list_distinct(list_filter(list_transform(all_participants, lambda x: lower(trim(x))), lambda x: x IS NOT NULL AND x <> '')))"
 _BURSTS = """x AS (SELECT *, CASE WHEN epoch_us(date) - epoch_us(lag(date) OVER w) > 14400000000 THEN 1 ELSE 0 END AS c FROM email_messages WHERE thread_root IS NOT NULL WINDOW w AS (PARTITION BY thread_root ORDER BY date NULLS FIRST, id)),
-    bb AS (SELECT *, sum(c) OVER (PARTITION BY thread_root ORDER BY date NULLS FIRST, id ROWS UNBOUNDED PRECEDING) AS burst_index FROM x)"""
+    bb AS (SELECT *, CAST(sum(c) OVER (PARTITION BY thread_root ORDER BY date NULLS FIRST, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS burst_index FROM x)"""
 _CONTACT = rf"""co AS (SELECT DISTINCT contact_id, lower(trim(a)) AS addr FROM (SELECT id AS contact_id, unnest(email_addresses) AS a FROM contacts WHERE NOT coalesce(is_self, false))),
     h AS (SELECT {_FOLDER} AS f, uid, from_addr, concat_ws(', ', to_addrs, cc_addrs) AS others FROM messages WHERE {_FOLDER} IS NOT NULL AND uid IS NOT NULL),
     z AS (SELECT f, uid, unnest(regexp_extract_all(lower(from_addr), '[a-z0-9._%+-]+@[a-z0-9.-]+')) AS addr, 0 AS d FROM h UNION ALL SELECT f, uid, unnest(regexp_extract_all(lower(others), '[a-z0-9._%+-]+@[a-z0-9.-]+')), 1 FROM h),
@@ -148,7 +148,7 @@ SQL = {
         c AS (SELECT count(*) AS t, count(*) FILTER (marked) AS a, count(*) FILTER (attribution) AS b, count(*) FILTER (original) AS o, count(*) FILTER (forwarded) AS fw, count(*) FILTER (header) AS hd FROM f)
         SELECT 'marked' AS habit, a AS n, a * 100 // t AS percent FROM c UNION ALL SELECT 'attribution', b, b * 100 // t FROM c UNION ALL SELECT 'original', o, o * 100 // t FROM c
         UNION ALL SELECT 'forwarded', fw, fw * 100 // t FROM c UNION ALL SELECT 'header', hd, hd * 100 // t FROM c""",
-    "attachment_types": "WITH a AS (SELECT id, unnest(attachments) AS a FROM email_messages) SELECT lower(a.content_type) AS content_type, count(*) AS n, count(DISTINCT id) AS n_mails, sum(a.size) AS bytes FROM a GROUP BY 1",
+    "attachment_types": "WITH a AS (SELECT id, unnest(attachments) AS a FROM email_messages) SELECT lower(a.content_type) AS content_type, count(*) AS n, count(DISTINCT id) AS n_mails, CAST(sum(a.size) AS BIGINT) AS bytes FROM a GROUP BY 1",
     "mail_bursts": f"WITH {_BURSTS} SELECT id, thread_root, burst_index FROM bb",
     "mail_burst_summary": f"""
         WITH {_BURSTS}, o AS (SELECT *, coalesce(epoch_us(date), -4611686018427387904) AS t FROM bb),

@@ -173,7 +173,7 @@ _DEC = f"""{_I}, e AS (SELECT *, CASE WHEN lang = 'en' AND n_chars >= 1205 AND n
 
 SQL = {
     "doc_lines_offsets": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l, text FROM documents) SELECT doc_id, len(l) AS n_lines, len(list_filter(l, lambda x: trim(x) <> '')) AS n_inked, CAST(length(text) - length(l[-1]) AS INT) AS last_start FROM l",
-    "iso_dates": r"WITH n AS (SELECT DISTINCT id, created_at FROM parsed_notes WHERE regexp_matches(created_at, '^\d{4}-\d{2}-\d{2}')) SELECT year(TRY_CAST(substr(created_at, 1, 10) AS DATE)) AS year, count(*) AS n FROM n GROUP BY 1",
+    "iso_dates": r"WITH n AS (SELECT DISTINCT id, created_at FROM parsed_notes WHERE regexp_matches(created_at, '^\d{4}-\d{2}-\d{2}')) SELECT CAST(year(TRY_CAST(substr(created_at, 1, 10) AS DATE)) AS INT) AS year, count(*) AS n FROM n GROUP BY 1",
     "note_resources": rf"WITH {_N} SELECT id, list_sort(list_distinct(regexp_extract_all(coalesce(body, ''), '\(:/([a-f0-9]{{32}})\)', 1))) AS links FROM n",
     "keyword_search": f"WITH {_N} SELECT id, substr(body, 1, 300) AS preview FROM n WHERE coalesce(contains(lower(title), 'garden') OR contains(lower(body), 'garden'), false)",
     "note_tags": f"WITH {_N}, t AS (SELECT DISTINCT id, trim(unnest(tags)) AS tag FROM n) SELECT tag, count(*) AS n FROM t WHERE tag <> '' GROUP BY 1",

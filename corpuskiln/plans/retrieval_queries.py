@@ -126,5 +126,5 @@ SQL = {
     "notes_without_units": f"""
         SELECT notebook, count(DISTINCT id) AS n FROM parsed_notes WHERE id NOT IN (SELECT {_NOTE_KEY} FROM retrieval_units WHERE source_type IN ('joplin', 'obsidian')) GROUP BY notebook""",
     "threads_with_bursts": "SELECT thread_type, privacy_tier, count(*) AS n FROM imessage_threads WHERE id IN (SELECT thread_id FROM imessage_bursts) GROUP BY ALL",
-    "embeddings_of_units": "SELECT id, 64 AS dims, 1.0 AS norm FROM retrieval_units WHERE trim(body) <> ''",
+    "embeddings_of_units": "SELECT id, 64 AS dims, CAST(1 AS DOUBLE) AS norm FROM retrieval_units WHERE trim(body) <> ''",
 }

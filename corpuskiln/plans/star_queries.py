@@ -97,7 +97,7 @@ SQL = {
     "top_orders": f"SELECT l_orderkey, o_orderdate, round(sum({_REV}), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1, 2 ORDER BY revenue DESC, l_orderkey LIMIT 10",
     "revenue_by_nation": f"SELECT r_name, n_name, round(sum(r), 2) AS revenue, count(*) AS suppliers FROM (SELECT l_suppkey, sum({_REV}) AS r FROM lineitem GROUP BY 1) JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
     "customers_without_orders": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1",
-    "best_orders_per_customer": "SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders QUALIFY place <= 3",
+    "best_orders_per_customer": "SELECT o_orderkey, o_custkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS place FROM orders QUALIFY place <= 3",
     "orders_by_month": "SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2",
     "part_demand": "WITH g AS (SELECT p_type, p_brand, sum(l_quantity) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT *, round(avg(quantity) OVER (PARTITION BY p_type), 4) AS type_mean FROM g",
     "inserted_vs_updated": "SELECT CASE WHEN k IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'updated' ELSE 'inserted' END AS action, count(*) AS n FROM (SELECT DISTINCT o_custkey AS k FROM orders) GROUP BY 1",

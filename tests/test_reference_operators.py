@@ -129,3 +129,31 @@ def test_requests():
     for q, k in (("", 5), (" ", 5), ("x", 0), ("x", 21)):
         with pytest.raises(ValueError):
             retrieval.check_request(q, k)
+
+
+def test_sinks(spark, tmp_path):
+    from corpuskiln import sinks
+
+    df = spark.createDataFrame([("a|b", 1, "x"), (None, 2, "y")], "t string, n int, p string")
+    sinks.write_table(df, str(tmp_path / "t"), dry_run=True)
+    assert not (tmp_path / "t").exists()
+    sinks.write_table(df, str(tmp_path / "t"), partition_by="p")
+    sinks.write_table(df.filter("p = 'x'").withColumn("n", F.lit(9)), str(tmp_path / "t"), partition_by="p")
+    assert sorted((r.n, r.p) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(2, "y"), (9, "x")]
+    assert "| a\\|b | 1 | x |" in sinks.markdown("T", df) and sinks.as_json(df).filter("document like '%\"n\":2%'").count() == 1
+    line = df.select(sinks.item_line(F.lit("T"), F.lit("u"), F.col("p"), F.lit("")).alias("l")).collect()[0].l
+    assert line == "- [T](u) — x"
+
+
+def test_retrieval_filters(spark):
+    rows = [("1", "n1", [1.0, 0.0], 2, "group", "t1", "A"), ("2", "n2", [0.9, 0.1], 3, "bilateral", "t2", "A"), ("3", None, [0.0, 1.0], 2, "group", "t1", "B"), ("4", "n3", None, 2, "group", "t1", "B")]
+    df = spark.createDataFrame(rows, "id string, note_id string, embedding array<float>, privacy_tier int, thread_type string, thread_id string, notebook string")
+    q = [1.0, 0.0]
+    assert [r.id for r in retrieval.match_units(df, q).collect()] == ["1", "3"]
+    assert [r.id for r in retrieval.match_units(df, q, max_tier=3, notebook="A").collect()] == ["1", "2"]
+    assert [r.id for r in retrieval.match_bursts(df, q, thread_id="t1").collect()] == ["1", "3"]
+    notes = spark.createDataFrame([("n1", "Garden"), ("n2", "Work")], "id string, notebook string")
+    assert [r.id for r in retrieval.of_notebook(df, notes, "Garden").collect()] == ["1"]
+    found = spark.createDataFrame([("i", 0.34, "x"), ("i", 0.35, "y" * 400)], "item string, similarity double, text string")
+    got = retrieval.connections(spark.createDataFrame([("i",)], "item string"), found).collect()
+    assert len(got) == 1 and len(got[0].text) == 300
