@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuskiln.session import spread
+
 BUCKETS = 1 << 14
 A, Q, S, D = range(4)
 KINDS = ["authored", "quoted", "signature", "disclaimer"]
@@ -249,7 +251,7 @@ def count_words(mails: DataFrame) -> DataFrame:
         at = np.nonzero(table)
         yield pd.DataFrame({"label": at[0].astype("int32"), "bucket": at[1].astype("int32"), "n": table[at]})
 
-    part = mails.select("raw_body").filter("raw_body is not null and raw_body <> ''").mapInPandas(count, "label int, bucket int, n long")
+    part = spread(mails.select("raw_body").filter("raw_body is not null and raw_body <> ''")).mapInPandas(count, "label int, bucket int, n long")
     return part.groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -414,7 +416,7 @@ def segments(mails: DataFrame) -> DataFrame:
                 rows += [(key, ln.no, KINDS[k], ln.text) for ln, k in zip(lines, decode(lines, odds.value, features, sender or ""))]
             yield pd.DataFrame(rows, columns=["id", "line_no", "kind", "text"])
 
-    return mails.select("id", "raw_body", "from_name").filter("raw_body is not null and raw_body <> ''").mapInPandas(read, "id string, line_no int, kind string, text string")
+    return spread(mails.select("id", "raw_body", "from_name").filter("raw_body is not null and raw_body <> ''")).mapInPandas(read, "id string, line_no int, kind string, text string")
 
 
 def old_lines(mails: DataFrame) -> DataFrame:
@@ -437,4 +439,4 @@ def stripped(mails: DataFrame) -> DataFrame:
                 out.append(re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip())
             yield pd.DataFrame({"id": pdf["id"], "stripped_body": out})
 
-    return mails.select("id", "raw_body", "from_name").mapInPandas(read, "id string, stripped_body string")
+    return spread(mails.select("id", "raw_body", "from_name")).mapInPandas(read, "id string, stripped_body string")
