@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: More queries than this are matched in several passes: their matrix goes to every task.
-MAX_QUERIES = 4_096
+#: Queries, and rows, that are scored by one matrix product; more are matched block by block.
+MAX_QUERIES = 1_024
+MAX_ROWS = 4_096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,42 +23,59 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def top_k(vectors: DataFrame, queries: list[tuple[object, list[float]]], k: int, key: str = "vec_id", vector: str = "embedding", floor: float | None = None) -> DataFrame:
-    """``(query, key, similarity)``: for each query vector the ``k`` nearest rows.
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-    Rows are scored in Arrow batches by one matrix product; each partition
-    keeps its own best ``k`` a query, so what is shuffled doesn't grow with
-    the rows.  Ties go to the smaller key.
+
+def top_k(vectors: DataFrame, queries: DataFrame | list[tuple[object, list[float]]], k: int, key: str = "vec_id", vector: str = "embedding", floor: float | None = None) -> DataFrame:
+    """``(query, key, similarity, rank)``: for each query vector the ``k`` nearest rows.
+
+    Queries are a list, or a frame of any size with the columns ``query`` and
+    ``q``; a frame never comes to the driver.  Queries are gathered to blocks
+    of about ``MAX_QUERIES``, rows to blocks of ``MAX_ROWS``, and each block
+    meets each other block once, in one matrix product that keeps its best
+    ``k`` a query.  Ties go to the smaller key.
     """
-    if not 0 < len(queries) <= MAX_QUERIES:
-        raise ValueError(f"between 1 and {MAX_QUERIES} queries at once")
-    ids = [q for q, _ in queries]
-    m = np.asarray([v for _, v in queries], dtype=np.float64)
-    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    kind = vectors.schema[key].dataType.simpleString()
+    spark = vectors.sparkSession
+    if not isinstance(queries, DataFrame):
+        if not queries:
+            raise ValueError("no queries")
+        queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in queries], ["query", "q"])
+    asked = queries.select("query", "q").filter("q is not null")
+    n = max(1, -(-asked.count() // MAX_QUERIES))
+    # all the queries of a block are one row, so the join below sees few of them
+    blocks = asked.groupBy(F.pmod(F.xxhash64("query"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("query", "q")).alias("qs"))
+    blocks = blocks.select(F.col("qs.query").alias("ids"), F.col("qs.q").alias("qs"))
+    kind, asked_kind = vectors.schema[key].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
+    v_kind = vectors.schema[vector].dataType.simpleString()
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), MAX_ROWS):
+                one = pdf.iloc[at : at + MAX_ROWS]
+                yield pd.DataFrame({"keys": [one["key"].to_list()], "vs": [one["v"].to_list()]})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
         for pdf in batches:
-            pdf = pdf[[v is not None and len(v) == m.shape[1] for v in pdf["v"]]]
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ m.T
-            top = np.argsort(-s, axis=0, kind="stable")[: min(len(pdf), 4 * k)]
-            one = pd.DataFrame({"q": np.repeat(np.arange(len(ids)), top.shape[0]), "key": pdf["key"].to_numpy()[top.T.ravel()], "similarity": np.take_along_axis(s, top, 0).T.ravel()})
-            best = one if best is None else pd.concat([best, one])
-            best = best.sort_values(["q", "similarity", "key"], ascending=[True, False, True]).groupby("q").head(k)
-        if best is not None:
-            yield best
-
-    part = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).filter("v is not null").mapInPandas(score, f"q int, key {kind}, similarity double")
+            for keys, vs, ids, qs in zip(pdf["keys"], pdf["vs"], pdf["ids"], pdf["qs"]):
+                m = _unit(pd.Series(list(qs)))
+                fits = np.array([len(v) == m.shape[1] for v in vs])
+                if not fits.any():
+                    continue
+                keys = np.asarray(keys)[fits]
+                s = _unit(pd.Series([v for v, ok in zip(vs, fits) if ok])) @ m.T
+                top = np.argsort(-s, axis=0, kind="stable")[: min(len(keys), 4 * k)]
+                one = pd.DataFrame({"query": np.repeat(np.asarray(ids), top.shape[0]), "key": keys[top.T.ravel()], "similarity": np.take_along_axis(s, top, 0).T.ravel()})
+                yield one.sort_values(["query", "similarity", "key"], ascending=[True, False, True]).groupby("query").head(k)
+
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).filter("v is not null").mapInPandas(gather, f"keys array<{kind}>, vs array<{v_kind}>")
+    part = rows.crossJoin(blocks).mapInPandas(score, f"query {asked_kind}, key {kind}, similarity double")
     if floor is not None:
         part = part.filter(F.col("similarity") >= floor)
-    w = Window.partitionBy("q").orderBy(F.desc("similarity"), "key")
-    names = F.array(*[F.lit(i) for i in ids])
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
     out = part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return out.select(F.element_at(names, F.col("q") + 1).alias("query"), F.col("key").alias(key), "similarity", "rank")
+    return out.select("query", F.col("key").alias(key), "similarity", "rank")
 
 
 def deterministic_embedding(text: Column, dims: int = 1536) -> Column:
