@@ -222,6 +222,19 @@ def first_directory(path: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(path, r"^/*([^/]+)/", 1)), F.lit(""))
 
 
+def declared(source_zones: DataFrame, tbl: str) -> DataFrame:
+    """``(source, zone_id, date_order)`` that ``source_zones`` declares for a table."""
+    from corpuskiln.operators.delivery import folder_key
+
+    return source_zones.filter(F.col("tbl") == tbl).select(folder_key(F.col("source_key")).alias("source"), "zone_id", "date_order").dropDuplicates(["source"])
+
+
+def note_instants(notes: DataFrame, source_zones: DataFrame) -> DataFrame:
+    """``(id, instant_us)`` of the notes whose creation text names an instant, each id once."""
+    got = normalise(notes, "created_at", first_directory(F.col("source_file")), declared(source_zones, "parsed_notes"), F.lit(None).cast("long"))
+    return got.filter(F.col("instant_us").isNotNull()).groupBy("id").agg(F.min("instant_us").alias("instant_us"))
+
+
 def found_instants(messages: DataFrame, threads: DataFrame, notes: DataFrame, source_zones: DataFrame) -> DataFrame:
     """``(tbl, row_id, instant_us)`` of the three tables with date texts."""
     from corpuskiln.operators.delivery import folder_key
@@ -230,10 +243,8 @@ def found_instants(messages: DataFrame, threads: DataFrame, notes: DataFrame, so
     for tbl, df, text, source, seq, ingested in (
         ("messages", messages, "date_str", folder_key(F.col("folder")), F.col("uid"), None),
         ("imessage_threads", threads, "date_start", first_directory(F.col("source_file")), F.unix_micros("created_at"), F.col("created_at")),
-        ("parsed_notes", notes, "created_at", first_directory(F.col("source_file")), F.lit(None).cast("long"), None),
     ):
-        zones = source_zones.filter(F.col("tbl") == tbl).select(folder_key(F.col("source_key")).alias("source"), "zone_id", "date_order").dropDuplicates(["source"])
-        got = normalise(df, text, source, zones, seq, ingested)
-        rows = got.filter(F.col("instant_us").isNotNull()).select(F.lit(tbl).alias("tbl"), F.col("id").cast("string").alias("row_id"), "instant_us")
-        out.append(rows.groupBy("tbl", "row_id").agg(F.min("instant_us").alias("instant_us")) if tbl == "parsed_notes" else rows)
-    return out[0].unionByName(out[1]).unionByName(out[2])
+        got = normalise(df, text, source, declared(source_zones, tbl), seq, ingested)
+        out.append(got.filter(F.col("instant_us").isNotNull()).select(F.lit(tbl).alias("tbl"), F.col("id").cast("string").alias("row_id"), "instant_us"))
+    of_notes = note_instants(notes, source_zones).select(F.lit("parsed_notes").alias("tbl"), F.col("id").cast("string").alias("row_id"), "instant_us")
+    return out[0].unionByName(out[1]).unionByName(of_notes)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuskiln.functions import text as tx
 from corpuskiln.operators import bursts as b
 from corpuskiln.operators import corpus as c
+from corpuskiln.operators import instants
 from corpuskiln.tables import table
 
 OWNER = "the owner"
@@ -31,26 +32,25 @@ def volume_by_year(spark: SparkSession, d: str) -> DataFrame:
     return c.volume(messages(spark, d), "year")
 
 
-def _slow_threads(spark: SparkSession, d: str) -> DataFrame:
-    """Mails as messages: they leave months without any."""
-    e = table(spark, d, "email_messages", "id", "date", "has_attachments", "direction")
-    return e.filter("has_attachments and direction = 'sent'").select("id", F.col("date").alias("at"))
+def _mails(spark: SparkSession, d: str) -> DataFrame:
+    """All mails as messages."""
+    return table(spark, d, "email_messages", "id", "date").select("id", F.col("date").alias("at"))
 
 
 def silent_months(spark: SparkSession, d: str) -> DataFrame:
-    """Months without a sent mail with an attachment."""
-    return c.silent_months(_slow_threads(spark, d)).select(F.date_format("month", "yyyy-MM").alias("month"))
+    """Months without a mail; none where every month has one."""
+    return c.silent_months(_mails(spark, d)).select(F.date_format("month", "yyyy-MM").alias("month"))
 
 
 def silence_periods(spark: SparkSession, d: str) -> DataFrame:
-    s = c.silences(_slow_threads(spark, d))
+    s = c.silences(_mails(spark, d))
     return s.select(F.date_format("first_month", "yyyy-MM").alias("first_month"), F.date_format("last_month", "yyyy-MM").alias("last_month"), "months")
 
 
 def missing_years(spark: SparkSession, d: str) -> DataFrame:
-    """Years without a note whose creation text begins with a year."""
-    n = table(spark, d, "parsed_notes", "id", "created_at").filter(F.col("created_at").rlike(r"^20\d\d-06-15"))
-    return c.missing_years(n.select("id", F.try_to_timestamp(F.substring("created_at", 1, 10)).alias("at")))
+    """Years without a note, by the instants (UTC) that the creation texts name."""
+    n = instants.note_instants(table(spark, d, "parsed_notes", "id", "source_file", "created_at"), table(spark, d, "source_zones"))
+    return c.missing_years(n.select("id", F.timestamp_micros("instant_us").alias("at")))
 
 
 def peak_day(spark: SparkSession, d: str) -> DataFrame:

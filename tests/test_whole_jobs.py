@@ -1,9 +1,11 @@
 """Queries and operators over more rows than they once took."""
 
+from datetime import datetime
+
 import numpy as np
 
 from corpuskiln.functions import vectors
-from corpuskiln.plans import retrieval_queries
+from corpuskiln.plans import corpus_queries, retrieval_queries
 
 
 def nearest(rows, queries, k):
@@ -33,3 +35,20 @@ def test_any_number_of_queries(spark):
     q = df.select(df.vec_id.alias("query"), df.embedding.alias("q"))
     got = {(x.query, x.vec_id) for x in vectors.top_k(df, q, 1).collect()}
     assert got == {(i, i) for i in range(5000)}
+
+
+def test_all_mails_break_the_silence(spark, tmp_path):
+    d = str(tmp_path)
+    rows = [("a", datetime(2020, 1, 5), True, "sent"), ("b", datetime(2020, 2, 1), False, "received"), ("c", datetime(2020, 5, 9), None, None), ("d", datetime(2020, 7, 1), True, "sent"), ("e", None, True, "sent")]
+    spark.createDataFrame(rows, "id string, date timestamp, has_attachments boolean, direction string").write.parquet(d + "/email_messages.parquet")
+    assert sorted(x.month for x in corpus_queries.silent_months(spark, d).collect()) == ["2020-03", "2020-04", "2020-06"]
+    assert [tuple(x) for x in corpus_queries.silence_periods(spark, d).collect()] == [("2020-03", "2020-04", 2)]
+
+
+def test_years_count_in_any_spelling(spark, tmp_path):
+    d = str(tmp_path)
+    texts = ["2015-03-02", "March 4, 2016 10:00", "31/12/2017", "2018-06-15", "2021-01-01T00:30:00+02:00", "2023-07-07 08:09:10", "never", None]
+    spark.createDataFrame([(str(i), "vault/a.md", t) for i, t in enumerate(texts)], "id string, source_file string, created_at string").write.parquet(d + "/parsed_notes.parquet")
+    spark.createDataFrame([("parsed_notes", "vault", "UTC", "DMY")], "tbl string, source_key string, zone_id string, date_order string").write.parquet(d + "/source_zones.parquet")
+    # the first instant of 2021 two hours east is still 2020
+    assert sorted(x.year for x in corpus_queries.missing_years(spark, d).collect()) == [2019, 2021, 2022]
