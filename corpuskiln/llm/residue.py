@@ -2,9 +2,9 @@
 
 Method: character n-gram models of natural prose, filler, notices (of an
 error, or that scripts are required), unfilled placeholders and site
-navigation.  They are fitted by hard EM on a bounded sample of documents: the
-seeds below start the residue models, every round relabels the sample's lines
-and refits.  A document is then read in windows of ``WINDOW`` bytes that stop
+navigation.  They are fitted by hard EM on all documents: the seeds below start
+the residue models, every round relabels all lines and counts their n-grams
+anew.  A document is then read in windows of ``WINDOW`` bytes that stop
 at line ends; each byte goes to the model with the best likelihood in its
 window.  What the windows call a placeholder is checked exactly (shape, and
 not in code, links or quotation marks).  A document is residue if it has such
@@ -12,19 +12,20 @@ a placeholder, or if filler and notices cover at least ``COVERAGE`` of it,
 navigation not counted (real texts stay below a fifth, the others reach nearly
 all of theirs).
 
-Shape at scale: the models (a few MB) are fitted on the driver from at most
-``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS`` characters together and
-broadcast.  Scoring is one narrow pass over whole texts, numpy inside Arrow
-batches, no shuffle.
+Shape at scale: each of the ``ROUNDS`` rounds is a pass that counts n-grams by
+class in its tasks and sums them by bucket, of which there are 1.5 million
+whatever the input; the models (a few MB) are made of the sums on the driver
+and broadcast.  What is counted of a document doesn't depend on its neighbours,
+so the models don't depend on how the rows are split.  Scoring is one narrow
+pass over whole texts, numpy inside Arrow batches, no shuffle.
 
 Nulls and empty texts are never residue.  Repeats of a case are cases.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,17 +34,19 @@ from pyspark.sql import functions as F
 
 from corpuskiln.session import spread
 
-SAMPLE_DOCS = 4_000
-SAMPLE_CHARS = 8_000_000
 WINDOW = 28
 COVERAGE = 0.4
 ROUNDS = 3
-#: Bytes that are read at once.
+#: Bytes that are read at once, and of these in the processor's cache.
 PIECE = 1 << 19
+BLOCK = 1 << 14
 
 N, M = 5, 3
 BITS5, BITS3 = 18, 15
 CLASSES = ["prose", "filler", "notice", "placeholder", "navigation"]
+#: Where the counts of 3-grams and of lines begin behind those of 5-grams, all by class.
+AT3, AT_LINES = len(CLASSES) << BITS5, (len(CLASSES) << BITS5) + (len(CLASSES) << BITS3)
+COUNTS = AT_LINES + len(CLASSES)
 
 #: Names of template fields.
 FIELDS = ["date", "city", "week", "sender", "author", "title", "topic", "project", "amount", "deadline", "summary", "highlights", "notebook", "first name", "last name", "contact name", "name", "company", "email", "address", "subject", "item 1", "value"]
@@ -104,7 +107,7 @@ def _hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS5), (three * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS3)
 
 
-def fit(texts: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray]:
+def fit(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-likelihood ratios against prose of 5-grams and of 3-grams, a column per other class.
 
     Witten-Bell smoothing: a class gives to what it hasn't seen the share that
@@ -112,10 +115,7 @@ def fit(texts: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray]:
     little; the small classes are pooled for this, so that what none of them
     knows speaks for none of them in particular.
     """
-    five, three = np.zeros((1 << BITS5, len(CLASSES))), np.zeros((1 << BITS3, len(CLASSES)))
-    for k, c in enumerate(CLASSES):
-        h5, h3 = _hashes(np.frombuffer(_encode("\n".join(texts[c]) + "\n"), np.uint8))
-        five[:, k], three[:, k] = np.bincount(h5, minlength=1 << BITS5), np.bincount(h3, minlength=1 << BITS3)
+    five, three = counts[:AT3].reshape(len(CLASSES), -1).T, counts[AT3:AT_LINES].reshape(len(CLASSES), -1).T
 
     def ratios(n: np.ndarray, weight: float) -> np.ndarray:
         total, kinds = n.sum(0), (n > 0).sum(0)
@@ -124,23 +124,37 @@ def fit(texts: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray]:
         f = n / total
         q = 0.9 * f.mean(1, keepdims=True) + 0.1 / len(n)
         p = np.log((1 - new) * f + new * q)
-        return (weight * np.clip(p[:, 1:] - p[:, :1], -8, 8)).astype(np.float32)
+        return np.asfortranarray((weight * np.clip(p[:, 1:] - p[:, :1], -8, 8)).astype(np.float32))
 
     return ratios(five, 0.7), ratios(three, 0.3)
 
 
-def _read_piece(b: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    h5, h3 = _hashes(b)
+def _read_block(b: np.ndarray, h5: np.ndarray, h3: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    h5, h3 = h5.astype(np.intp), h3.astype(np.intp)
     n = len(b)
-    s = np.zeros((n + 1, len(CLASSES) - 1))
-    np.cumsum(model[0][h5] + model[1][h3], axis=0, out=s[1:])
-    at = np.arange(n, dtype=np.int32)
-    newline = b == 10
-    starts = np.maximum.accumulate(np.where(np.concatenate([[True], newline[:-1]]), at, 0))
-    stops = np.minimum.accumulate(np.where(newline, at, n)[::-1])[::-1]
-    score = s[np.minimum(at + WINDOW // 2 + 1, stops)] - s[np.maximum(at - WINDOW // 2, starts)]
-    best = score.argmax(1)
-    return np.where(score[at, best] > 0, best + 1, 0).astype(np.uint8)
+    ends = np.flatnonzero(b == 10)
+    first = np.concatenate([[0], ends + 1])[: len(ends) + (not len(ends) or int(ends[-1]) < n - 1)]
+    long = np.diff(first, append=n)
+    at = np.arange(n)
+    hi = np.minimum(at + WINDOW // 2 + 1, np.repeat(np.append(ends, n)[: len(first)], long))
+    lo = np.maximum(at - WINDOW // 2, np.repeat(first, long))
+    s, top, label = np.zeros(n + 1), np.zeros(n), np.zeros(n, np.uint8)
+    # no index is out of range; without the check for that, take is much faster
+    for k in range(len(CLASSES) - 1):
+        np.cumsum(model[0][:, k].take(h5, mode="clip") + model[1][:, k].take(h3, mode="clip"), dtype=np.float64, out=s[1:])
+        score = s.take(hi, mode="clip") - s.take(lo, mode="clip")
+        label[score > top] = k + 1
+        np.maximum(top, score, out=top)
+    return label
+
+
+def _read_piece(b: np.ndarray, model: tuple[np.ndarray, np.ndarray], hashes: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The classes of a piece, read in blocks of lines that stay in the processor's cache."""
+    h5, h3 = hashes or _hashes(b)
+    ends = np.flatnonzero(b == 10) + 1
+    cuts = [0, *ends[np.flatnonzero(np.diff(ends // BLOCK, prepend=0))].tolist()]
+    cuts += [len(b)] if cuts[-1] < len(b) else []
+    return np.concatenate([_read_block(b[i:j], h5[i:j], h3[i:j], model) for i, j in zip(cuts, cuts[1:])])
 
 
 def read(b: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -233,46 +247,122 @@ def seeds() -> dict[str, list[str]]:
     return {"filler": FILLER, "notice": NOTICE, "placeholder": _fields(), "navigation": NAVIGATION}
 
 
-def train(sample: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The models, by ``ROUNDS`` rounds of hard EM over the lines of the sample."""
-    start = seeds()
-    lines = [ln for t in sample for ln in t.split("\n") if ln.strip()]
-    coded = [_encode(ln) for ln in lines]
-    data = np.frombuffer(b"\n".join(coded) + b"\n", np.uint8)
-    first = np.concatenate([[0], np.cumsum([len(c) + 1 for c in coded])[:-1]]) if coded else np.zeros(0, int)
-    own: dict[str, list[str]] = {c: [] for c in CLASSES[1:]}
-    prose, model = lines, None
-    for _ in range(ROUNDS if lines else 1):
-        if model is not None:
-            label = read(data, model)
-            inked = (data != 32) & (data != 10) & (data != 9)
-            counts = np.stack([np.add.reduceat((label == k) & inked, first, dtype=np.int64) for k in range(len(CLASSES))], 1)
-            most, total = counts.argmax(1), counts.sum(1)
-            sure = (most > 0) & (most != 3) & (counts.max(1) >= 0.9 * total)
-            own = {c: [lines[i] for i in np.flatnonzero(sure & (most == k))] for k, c in enumerate(CLASSES) if k}
-            prose = [lines[i] for i in np.flatnonzero(~sure & (counts[:, 0] >= 0.5 * total) & (counts[:, 3] < 6))]
-        # the seeds are repeated with what was found, so that no round can wash them out
-        texts = {c: start[c] * max(3, min(40, len(own[c]) // len(start[c]))) + own[c] for c in CLASSES[1:]}
-        model = fit({"prose": prose, **texts})
-    return model
+def _seed_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    h5, h3 = _hashes(np.frombuffer(_encode("\n".join(texts) + "\n"), np.uint8))
+    return np.bincount(h5, minlength=1 << BITS5), np.bincount(h3, minlength=1 << BITS3)
 
 
-def fit_on(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Fits on at most ``SAMPLE_DOCS`` documents, chosen by a hash of the row.
+def _parts(text: str) -> Iterator[bytes]:
+    """The lines of a text that aren't blank, in parts of at least ``PIECE`` bytes but for the last."""
+    b = _encode("\n".join(ln for ln in text.split("\n") if ln.strip()))
+    at = 0
+    while at < len(b):
+        end = b.find(b"\n", at + PIECE)
+        end = len(b) if end < 0 else end
+        yield b[at:end]
+        at = end + 1
 
-    The share of rows that suffices is known beforehand, so the tasks send the
-    driver no more than the sample, however many they are.
+
+def _count_piece(b: np.ndarray, model: tuple[np.ndarray, np.ndarray] | None, into: np.ndarray) -> None:
+    """Adds the n-grams and the lines of each class; four newlines stand between parts.
+
+    Without a model all is prose.  N-grams that reach over the start of a part
+    don't count.
     """
-    n = max(1, documents.count())
-    cut = min(1 << 30, math.ceil((1 << 30) * SAMPLE_DOCS / n))
-    chosen = documents.filter(F.pmod(F.xxhash64(*documents.columns), F.lit(1 << 30)) < cut).filter("text <> ''").filter(F.length("text") <= SAMPLE_CHARS // 100)
-    sample, size = [], 0
-    for r in chosen.select("text").limit(SAMPLE_DOCS).collect():
-        size += len(r["text"])
-        if size > SAMPLE_CHARS:
+    before = np.concatenate([[10, 10], b])
+    ink, one, two = b != 10, before[1:-1] == 10, before[:-2] == 10
+    first = np.flatnonzero(ink & one)
+    hashes = _hashes(b)
+    kind = np.zeros(len(first), np.int64)
+    if model is not None:
+        label = _read_piece(b, model, hashes)
+        inked = (b != 32) & ink & (b != 9)
+        line = np.repeat(np.arange(len(first)), np.diff(first, append=len(b)))
+        counts = np.bincount((line * len(CLASSES) + label)[inked], minlength=len(first) * len(CLASSES)).reshape(-1, len(CLASSES))
+        most, total = counts.argmax(1), counts.sum(1)
+        sure = (most > 0) & (most != 3) & (counts.max(1) >= 0.9 * total)
+        prose = ~sure & (counts[:, 0] >= 0.5 * total) & (counts[:, 3] < 6)
+        kind = np.where(sure, most, np.where(prose, 0, -1))
+    of = np.repeat(kind, np.diff(first, append=len(b)))
+    of[~ink & one] = -1
+    for start in first[two[first]]:
+        of[start : start + N - 1] = -1
+    for h, bits, begin in ((hashes[0], BITS5, 0), (hashes[1], BITS3, AT3)):
+        into[begin : begin + (1 << bits)] += np.bincount(h[of == 0], minlength=1 << bits)
+        rest = np.flatnonzero(of > 0)
+        np.add.at(into, begin + (of[rest] << bits) + h[rest], 1)
+    into[AT_LINES:] += np.bincount(kind[kind >= 0], minlength=len(CLASSES))
+
+
+def count(texts: Iterable[str], model: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """The n-grams and lines by class under ``model``, taken together up to ``PIECE`` bytes or one part."""
+    out = np.zeros(COUNTS, np.int64)
+    group: list[bytes] = []
+    size = 0
+
+    def flush() -> None:
+        if group:
+            _count_piece(np.frombuffer(b"\n\n\n\n".join(group) + b"\n", np.uint8), model, out)
+
+    for t in texts:
+        for part in _parts(t):
+            if size + len(part) > PIECE:
+                flush()
+                group, size = [], 0
+            group.append(part)
+            size += len(part)
+    flush()
+    return out
+
+
+def count_all(documents: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """:func:`count` over the column ``text`` of all documents: counted in tasks, summed by bucket."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+
+    def in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = count((t for pdf in batches for t in pdf["text"]), sent.value)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"at": at.astype("int32"), "n": n[at]})
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"at": [pdf["at"].to_numpy("int32").tobytes()], "n": [pdf["n"].to_numpy("int64").tobytes()]})
+
+    sums = spread(documents.select("text").filter("text <> ''")).mapInPandas(in_task, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    out = np.zeros(COUNTS, np.int64)
+    for r in sums.mapInPandas(pack, "at binary, n binary").collect():
+        out[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int64)
+    sent.unpersist()
+    return out
+
+
+def _rounds(counted: Callable[[tuple[np.ndarray, np.ndarray] | None], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The models, by ``ROUNDS`` rounds of hard EM over the lines that ``counted`` counts."""
+    start = {"prose": [], **seeds()}
+    given = [_seed_counts(start[c]) for c in CLASSES]
+    model = None
+    for _ in range(ROUNDS):
+        n = counted(model)
+        for k, (c, (five, three)) in enumerate(zip(CLASSES, given)):
+            # the seeds are repeated with what was found, so that no round can wash them out, however much it is
+            times = max(3, int(n[AT_LINES + k]) // len(start[c])) if k else 1
+            n[k << BITS5 : (k + 1) << BITS5] += times * five
+            n[AT3 + (k << BITS3) : AT3 + ((k + 1) << BITS3)] += times * three
+        empty = not n[AT_LINES:].any()
+        model = fit(n)
+        if empty:
             break
-        sample.append(r["text"])
-    return train(sample)
+    return model
+
+
+def train(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The models of a list of texts."""
+    return _rounds(lambda model: count(texts, model))
+
+
+def fit_on(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The models of all documents."""
+    return _rounds(lambda model: count_all(documents, model))
 
 
 def scored(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
