@@ -60,12 +60,13 @@ def top_k(vectors: DataFrame, queries: DataFrame | list[tuple[object, list[float
         for pdf in batches:
             for keys, vs, ids, qs in zip(pdf["keys"], pdf["vs"], pdf["ids"], pdf["qs"]):
                 m = _unit(pd.Series(list(qs)))
-                fits = np.array([len(v) == m.shape[1] for v in vs])
-                if not fits.any():
-                    continue
-                keys = np.asarray(keys)[fits]
-                s = _unit(pd.Series([v for v, ok in zip(vs, fits) if ok])) @ m.T
-                top = np.argsort(-s, axis=0, kind="stable")[: min(len(keys), 4 * k)]
+                if any(len(v) != m.shape[1] for v in vs):
+                    raise ValueError(f"a vector isn't as long as its queries, {m.shape[1]}")
+                # in the order of keys, a stable sort leaves ties to the smaller key
+                order = np.argsort(keys, kind="stable")
+                keys = np.asarray(keys)[order]
+                s = (_unit(pd.Series(list(vs))) @ m.T)[order]
+                top = np.argsort(-s, axis=0, kind="stable")[: min(len(keys), k)]
                 one = pd.DataFrame({"query": np.repeat(np.asarray(ids), top.shape[0]), "key": keys[top.T.ravel()], "similarity": np.take_along_axis(s, top, 0).T.ravel()})
                 yield one.sort_values(["query", "similarity", "key"], ascending=[True, False, True]).groupby("query").head(k)
 

@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import numpy as np
+import pytest
 
 from corpuskiln.functions import vectors
 from corpuskiln.plans import corpus_queries, retrieval_queries
@@ -52,3 +53,14 @@ def test_years_count_in_any_spelling(spark, tmp_path):
     spark.createDataFrame([("parsed_notes", "vault", "UTC", "DMY")], "tbl string, source_key string, zone_id string, date_order string").write.parquet(d + "/source_zones.parquet")
     # the first instant of 2021 two hours east is still 2020
     assert sorted(x.year for x in corpus_queries.missing_years(spark, d).collect()) == [2019, 2021, 2022]
+
+
+def test_ties_go_to_the_smaller_key(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(99, -1, -1)], "vec_id long, embedding array<double>").coalesce(1)
+    assert [x.vec_id for x in vectors.top_k(df, [("a", [3.0, 2.0, 1.0])], 3).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_vectors_of_another_length_are_an_error(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="isn't as long"):
+        vectors.top_k(df, [("a", [3.0, 2.0])], 1).collect()
