@@ -55,15 +55,15 @@ def lines(notes: DataFrame, key: str = "id", body: str = "body", *keep: str) ->
 def with_headers(ls: DataFrame, key: str = "id") -> DataFrame:
     """Adds ``date`` of each line and ``header``, whether it heads a dated entry.
 
-    Only short lines with a digit are read for a date, each once; the line
-    before brings its own along.
+    Only lines with a digit are read for a date, each once; the line before
+    brings its own along.
     """
-    short = F.col("line").rlike(r"\d") & (F.length("line") < 200)
-    ls = ls.withColumn("date", F.when(short, parse_date(F.col("line"))))
+    digit = F.col("line").rlike(r"\d")
+    ls = ls.withColumn("date", F.when(digit, parse_date(F.col("line"))))
     bare = F.trim(F.regexp_replace("line", r"^#+ *", ""))
     words = F.split(bare, r"\s+")
     w = Window.partitionBy(key).orderBy("line_no")
-    early = F.when(short & (F.size(words) < 10), parse_date(F.array_join(F.slice(words, 1, 4), " ")))
+    early = F.when(digit & (F.size(words) < 10), parse_date(F.array_join(F.slice(words, 1, 4), " ")))
     before = F.trim("before")
     after = (before == "") | before.startswith("#") | F.lag("date").over(w).isNotNull()
     return ls.withColumn("header", (bare != "") & early.isNotNull() & after)

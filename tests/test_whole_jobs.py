@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from corpuskiln.functions import vectors
+from corpuskiln.operators import chunking
 from corpuskiln.plans import corpus_queries, retrieval_queries
 
 
@@ -64,3 +65,9 @@ def test_vectors_of_another_length_are_an_error(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="isn't as long"):
         vectors.top_k(df, [("a", [3.0, 2.0])], 1).collect()
+
+
+def test_a_heading_below_a_long_dated_line(spark):
+    body = "2024-01-05 " + "a long walk along the river " * 9 + "\n2024-01-06 Market\napples"
+    ls = chunking.lines(spark.createDataFrame([("n", body)], "id string, body string"))
+    assert [x.header for x in chunking.with_headers(ls).orderBy("line_no").collect()] == [False, True, False]
