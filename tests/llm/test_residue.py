@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 import pytest
 
@@ -12,8 +13,8 @@ def prose(r, n):
 
 
 CASES = {
-    "Dear {{ first_name }}, thank you for your note about the harvest.\n\n": 8, "Home | Archive | About\nHTTP 404\nNo page answers to that address.": 0, "Please enable JavaScript to view this page.": 0,
-    "Lorem ipsum dolor sit amet, consectetur adipiscing elit.\nUt enim ad minim veniam, quis nostrud exercitation.": 0, "Your text goes here.\n\nType here\n\nTBD": 0, "xxxx xxxx xxxx xxxx xxxx": 0, "Hello %FIRST_NAME%, welcome.\n": 5, "Kind regards,\n[INSERT NAME]\n": 4,
+    "Dear {{ first_name }}, thank you for your note about the harvest.\n\n": 8, "Home | Archive | About\n404 Not Found\nNothing lives under this address.": 0, "JavaScript is off. Please turn it on to read on.": 0,
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit.\nUt enim ad minim veniam, quis nostrud exercitation.": 0, "Put your own text here.\n\nAdd a title\n\nMore to come": 0, "asdf asdf asdf asdf": 0, "Hello %FIRST_NAME%, welcome.\n": 5, "Kind regards,\n[INSERT NAME]\n": 4,
 }
 REAL = [
     "My template uses `{{week}}` and `${city}`, and both are filled.\n\n", "```\nHello {{ project }},\n```\nThat is the template.\n\n", "See [[Garden Plan]] and [[Reviews|last review]].\n\n", "- [ ] TODO: ask the coach\n\n", "The form said \"[Your topic]\" in grey letters.\n\n",
@@ -31,7 +32,7 @@ def docs(spark):
             want.add(rows[-1][0])
     rows += [(1000 + i, x + prose(r, 10)) for i, x in enumerate(REAL)]
     rows += [(2000 + i, prose(r, r.randint(1, 30))) for i in range(400)]
-    rows += [(3000, prose(r, 12) + "\n\nPlease enable JavaScript to view this page."), (3001, None), (3002, ""), (3003, prose(r, 30000))]
+    rows += [(3000, prose(r, 12) + "\n\nPlease turn on JavaScript to view this page."), (3001, None), (3002, ""), (3003, prose(r, 30000))]
     return spark.createDataFrame(rows, "doc_id long, text string"), want
 
 
@@ -55,3 +56,34 @@ def test_pieces_agree_with_the_whole(monkeypatch):
     monkeypatch.setattr(R, "PIECE", 200)
     assert [n for _, n in R.judge(texts, model)] == [n for _, n in whole]
     assert all(abs(a - b) < 0.1 for (a, _), (b, _) in zip(R.judge(texts, model), whole))
+
+
+#: Residue of families that no seed resembles, written for this test: some documents say them beside known wording, others only among themselves.
+FAMILIES = {
+    "italian": (["La pagina richiesta non esiste.", "Controllare l'indirizzo digitato.", "Riprovare tra qualche istante."], "404 Not Found\nThe requested URL was not found on this server."),
+    "gatekeeper": (["Halt! Gate nine is shut for this visitor.", "Gate log 88f1-02 was kept for the warden.", "Ask the warden for a pass to gate nine."], "403 Forbidden\nYou do not have permission to read this object."),
+    "pangram": (["Sphinx of black quartz judge my vow.", "Pack my box with five dozen liquor jugs.", "Jackdaws love my big sphinx of quartz."], "Lorem ipsum dolor sit amet, consectetur adipiscing elit."),
+}
+
+
+@pytest.mark.parametrize("family", FAMILIES)
+def test_wording_without_seeds_is_learned(family):
+    r = random.Random(11)
+    lines, known = FAMILIES[family]
+    beside = [f"{known}\n{a}\n{b}" for a in lines for b in lines if a != b] * 5
+    alone = [f"{a}\n{b}" for a in lines for b in lines if a != b]
+    real = [prose(r, r.randint(2, 20)) for _ in range(600)] + [prose(r, 8) + "\n" + a + "\n" + prose(r, 8) for a in lines]
+    texts = beside + alone + real
+    got = [n > 0 or c >= R.COVERAGE for c, n in R.judge(texts, R.train(texts))]
+    found, wrong = sum(got[: len(beside) + len(alone)]), sum(got[len(beside) + len(alone) :])
+    assert sum(got[len(beside) : len(beside) + len(alone)]) >= 0.9 * len(alone)
+    assert found >= 0.9 * (len(beside) + len(alone)) and wrong <= 0.1 * found
+
+
+def test_clean_keeps_all_columns(spark):
+    rows = [(1, "404 Not Found", [1, 2], datetime(2020, 1, 1)), (2, "We planted beans and it rained.", None, None), (3, None, [], datetime(2021, 5, 6)), (4, "", [3], None)]
+    r = random.Random(2)
+    rows += [(10 + i, prose(r, 6), None, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, text string, coverage array<int>, residue timestamp")
+    out = R.clean(df)
+    assert out.schema == df.schema and sorted(tuple(x) for x in out.collect()) == [tuple(x) for x in rows[1:]]
