@@ -2,14 +2,18 @@
 
 An identifier made of a producer and a sequence number is checked against the
 producer's *seen ranges*: disjoint intervals of numbers that were accepted
-before.  A number outside all ranges is accepted once, then merged into them.
-Identifiers without such a number are looked up exactly.
-
-Shape at scale: rows are first reduced to one *claim* per identifier with a
-map-side combined aggregate, so an identifier that holds a third of all rows
-costs one claim per map task.  Ranges are kept per producer and block of
+before.  A sweep over each producer's numbers, batch by batch at each number,
+keeps the range that it is in: a number that the range covers was accepted
+before, any other is accepted once and lengthens the range or opens one.  The
+ranges of earlier runs take part in the same sweep.  Identifiers without such a
+number are looked up exactly.
+
+Shape at scale: rows are first reduced to one *claim* per identifier and batch
+with a map-side combined aggregate, so an identifier that holds a third of all
+rows costs one claim per map task.  The sweep runs per producer and block of
 ``2**BLOCK_BITS`` numbers, so that a producer with most of the numbers is
-spread over as many tasks as it has blocks.
+spread over as many tasks as it has blocks, and a task sees no more rows than a
+block has numbers and batches.
 
 Nulls: a missing identifier matches nothing and its row is always kept.  Ties
 in the order columns are broken by the row id; repeated row ids count once.
@@ -53,22 +57,31 @@ def merge_ranges(ranges: DataFrame) -> DataFrame:
     return runs.groupBy("producer", "block", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
 
 
+def in_blocks(ledger: DataFrame) -> DataFrame:
+    """``(producer, block, lo, hi)``: ranges ``(producer, lo, hi)`` cut where blocks end."""
+    each = ledger.select("producer", "lo", "hi", F.explode(F.sequence(_block(F.col("lo")), _block(F.col("hi")))).alias("block"))
+    return each.select("producer", "block", F.greatest("lo", F.shiftleft("block", BLOCK_BITS)).alias("lo"), F.least("hi", F.shiftleft(F.col("block") + 1, BLOCK_BITS) - 1).alias("hi"))
+
+
 def accept_numbered(numbered: DataFrame, order: list[Column], row_id: str, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Accepts each uncovered number of ``(producer, number)`` once.
+    """Accepts each uncovered number of ``(producer, number)`` once, in ``order``.
 
-    ``ledger`` holds the ranges seen in earlier runs.  Returns the claims, with
-    ``_accepted`` false for numbers the ledger covers, and the grown ledger.
+    ``ledger`` holds the ranges ``(producer, block, lo, hi)`` of earlier runs.
+    Returns the claims ``(producer, number, _order, _id, _n, _accepted)``, one
+    per number and place in the order, ``_accepted`` false where the ranges
+    cover the number by then, and the grown ledger.
     """
-    got = claims(numbered, ["producer", "number"], order, row_id).withColumn("block", _block(F.col("number")))
-    if ledger is None:
-        got = got.withColumn("_accepted", F.lit(True))
-    else:
-        # at most 2**BLOCK_BITS disjoint ranges a block: the array is bounded
-        known = ledger.groupBy("producer", "block").agg(F.collect_list(F.struct("lo", "hi")).alias("_seen"))
-        inside = F.exists("_seen", lambda r: F.col("number").between(r["lo"], r["hi"]))
-        got = got.join(known, ["producer", "block"], "left").withColumn("_accepted", ~F.coalesce(inside, F.lit(False))).drop("_seen")
-    fresh = got.filter("_accepted").select("producer", "block", F.col("number").alias("lo"), F.col("number").alias("hi"))
-    return got, merge_ranges(fresh if ledger is None else fresh.unionByName(ledger))
+    got = numbered.groupBy("producer", "number", F.struct(*order).alias("_order")).agg(F.min(row_id).alias("_id"), F.count(F.lit(1)).alias("_n"))
+    events = got.select("producer", _block(F.col("number")).alias("block"), F.col("number").alias("lo"), F.col("number").alias("hi"), F.lit(True).alias("_claim"), "_order", "_id", "_n")
+    if ledger is not None:
+        events = events.unionByName(ledger.select("producer", "block", "lo", "hi", F.lit(False).alias("_claim")), allowMissingColumns=True)
+    # at equal numbers the ranges of earlier runs come first, then the claims in their order
+    w = Window.partitionBy("producer", "block").orderBy("lo", "_claim", "_order", "_id")
+    seen = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    swept = events.withColumn("_seen", seen).withColumn("_new", (F.col("_seen").isNull() | (F.col("lo") > F.col("_seen") + 1)).cast("int"))
+    claimed = swept.filter("_claim").select("producer", F.col("lo").alias("number"), "_order", "_id", "_n", F.coalesce(F.col("lo") > F.col("_seen"), F.lit(True)).alias("_accepted"))
+    runs = swept.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return claimed, runs.groupBy("producer", "block", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
 
 
 def ledger_of(rows: DataFrame, producer: Column, number: Column) -> DataFrame:
@@ -95,9 +108,9 @@ def resolve(rows: DataFrame, row_id: str, order: list[Column], producer: Column
     if producer is not None and number is not None:
         numbered = own.withColumn("producer", producer).withColumn("number", number.cast("long"))
         well = numbered.filter(F.col("producer").isNotNull() & F.col("number").isNotNull())
-        got, _ = accept_numbered(well, order, row_id, ledger)
-        kept = got.select("producer", "number", F.when(F.col("_accepted"), F.col("_first")).alias("_first"))
-        parts.append(well.join(kept, ["producer", "number"]).drop("producer", "number"))
+        claimed, _ = accept_numbered(well, order, row_id, ledger)
+        kept = claimed.filter("_accepted").select("producer", "number", F.col("_id").alias("_first"))
+        parts.append(well.join(kept, ["producer", "number"], "left").drop("producer", "number"))
         own = numbered.filter(F.col("producer").isNull() | F.col("number").isNull()).drop("producer", "number")
     keyed = own.withColumn("_key", key if key is not None else F.lit(None).cast("string"))
     if key is not None:
@@ -130,20 +143,43 @@ def delivery_pairs(rows: DataFrame, row_id: str, order: list[Column], **how) ->
     return both.select(F.least("row_a", "row_b").alias("row_a"), F.greatest("row_a", "row_b").alias("row_b"))
 
 
+def members(rows: DataFrame, row_id: str, order: list[Column], **how) -> DataFrame:
+    """``(row_id, kept_id)`` of rows delivered more than once: a row each, where pairs would be many."""
+    got = resolve(rows, row_id, order, **how).select(F.col(row_id).alias("row_id"), F.col("_first").alias("kept_id"))
+    again = got.filter("row_id <> kept_id").select("kept_id").distinct()
+    return got.join(again, "kept_id", "left_semi").select("row_id", "kept_id")
+
+
 def header_deliveries(messages: DataFrame) -> dict:
     """How rows of the header index are told apart: ranges of uid per folder."""
-    return {"order": [F.coalesce(F.col("batch_no"), F.lit(2**31 - 1))], "producer": folder_key(F.col("folder")), "number": F.col("uid")}
+    return {"order": [F.coalesce(F.col("batch_no"), F.lit(2**31 - 1)).alias("batch_no")], "producer": folder_key(F.col("folder")), "number": F.col("uid")}
 
 
 def mail_deliveries(mails: DataFrame) -> dict:
     """How mails are told apart: their ids name no producer and number, so by exact lookup."""
-    return {"order": [F.coalesce(F.col("batch_no"), F.lit(2**31 - 1))], "key": message_key(F.col("message_id"))}
+    return {"order": [F.coalesce(F.col("batch_no"), F.lit(2**31 - 1)).alias("batch_no")], "key": message_key(F.col("message_id"))}
 
 
-def found_pairs(messages: DataFrame, mails: DataFrame) -> DataFrame:
-    """``(tbl, row_a, row_b)`` of both tables."""
+def _both(messages: DataFrame, mails: DataFrame, what) -> DataFrame:
     heads = messages.select(F.col("id").cast("string").alias("id"), "folder", "uid", "batch_no")
     post = mails.select(F.col("id").cast("string").alias("id"), "message_id", "batch_no")
-    a = delivery_pairs(heads, "id", **header_deliveries(heads)).select(F.lit("messages").alias("tbl"), "row_a", "row_b")
-    b = delivery_pairs(post, "id", **mail_deliveries(post)).select(F.lit("email_messages").alias("tbl"), "row_a", "row_b")
-    return a.unionByName(b)
+    a, b = what(heads, "id", **header_deliveries(heads)), what(post, "id", **mail_deliveries(post))
+    return a.select(F.lit("messages").alias("tbl"), "*").unionByName(b.select(F.lit("email_messages").alias("tbl"), "*"))
+
+
+def found_pairs(messages: DataFrame, mails: DataFrame) -> DataFrame:
+    """``(tbl, row_a, row_b)`` of both tables."""
+    return _both(messages, mails, delivery_pairs)
+
+
+def found_members(messages: DataFrame, mails: DataFrame) -> DataFrame:
+    """``(tbl, row_id, kept_id)`` of both tables."""
+    return _both(messages, mails, members)
+
+
+def by_batch(messages: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """Per batch of the header index: rows delivered, numbers accepted and numbers that the ranges covered by then."""
+    h = header_deliveries(messages)
+    numbered = messages.withColumns({"producer": h["producer"], "number": h["number"].cast("long")}).filter("producer is not null and number is not null")
+    claimed, _ = accept_numbered(numbered, [F.col("batch_no")], "id", ledger)
+    return claimed.groupBy(F.col("_order.batch_no").alias("batch_no")).agg(F.sum("_n").alias("delivered"), F.count_if("_accepted").alias("accepted"), F.count_if(~F.col("_accepted")).alias("covered"))

@@ -44,7 +44,24 @@ def p6_unique_headers(spark: SparkSession, d: str) -> DataFrame:
     return delivery.keep_once(m, "id", **delivery.header_deliveries(m)).select("id", delivery.folder_key(F.col("folder")).alias("folder"), "uid", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_user_sessions, p3_found, p6_found, p6_seen_ranges, p6_unique_headers)}
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that were delivered more than once, each with the delivery that is kept: one row each instead of pairs."""
+    return delivery.found_members(table(spark, d, "messages", "id", "folder", "uid", "batch_no"), table(spark, d, "email_messages", "id", "message_id", "batch_no"))
+
+
+def p6_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batch by batch: what came, what was accepted, what the ranges covered by then."""
+    return delivery.by_batch(table(spark, d, "messages", "id", "folder", "uid", "batch_no"))
+
+
+def p6_later_batches(spark: SparkSession, d: str) -> DataFrame:
+    """A second run: the batches from 16 on, against the ledger that the earlier ones left."""
+    m = table(spark, d, "messages", "id", "folder", "uid", "batch_no")
+    ledger = delivery.ledger_of(m.filter("batch_no < 16"), delivery.folder_key(F.col("folder")), F.col("uid"))
+    return delivery.by_batch(m.filter("batch_no >= 16"), delivery.in_blocks(ledger))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_user_sessions, p3_found, p6_found, p6_seen_ranges, p6_unique_headers, p6_members, p6_batches, p6_later_batches)}
 
 _FOLDER = r"nullif(regexp_replace(lower(trim(folder)), '[\s/]+$', ''), '')"
 _KEY = r"nullif(regexp_replace(regexp_replace(lower(message_id), '\s+', '', 'g'), '^[<\[(]+|[>\])]+$', '', 'g'), '')"
@@ -73,6 +90,19 @@ SQL = {
         WITH u AS (SELECT DISTINCT {_FOLDER} AS folder, CAST(uid AS BIGINT) AS uid FROM messages WHERE uid IS NOT NULL),
         r AS (SELECT *, uid - row_number() OVER (PARTITION BY folder ORDER BY uid) AS k FROM u WHERE folder IS NOT NULL)
         SELECT folder, min(uid) AS lo, max(uid) AS hi FROM r GROUP BY folder, k""",
+    "p6_members": f"""
+        WITH a AS (SELECT 'messages' AS tbl, CAST(id AS VARCHAR) AS id, {_FOLDER} || '/' || uid AS k, batch_no FROM messages
+                   UNION ALL SELECT 'email_messages', id, {_KEY}, batch_no FROM email_messages),
+        g AS (SELECT tbl, k, count(*) AS n, arg_min(id, struct_pack(b := coalesce(batch_no, 2147483647), i := id)) AS kept_id FROM (SELECT DISTINCT * FROM a) WHERE k IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT id) > 1)
+        SELECT a.tbl, a.id AS row_id, kept_id FROM a JOIN g ON a.tbl = g.tbl AND a.k = g.k""",
+    "p6_batches": f"""
+        WITH c AS (SELECT {_FOLDER} AS f, uid, batch_no, count(*) AS n FROM messages WHERE uid IS NOT NULL AND {_FOLDER} IS NOT NULL GROUP BY 1, 2, 3),
+        o AS (SELECT *, row_number() OVER (PARTITION BY f, uid ORDER BY batch_no NULLS FIRST) AS r FROM c)
+        SELECT batch_no, CAST(sum(n) AS BIGINT) AS delivered, count(*) FILTER (r = 1) AS accepted, count(*) FILTER (r > 1) AS covered FROM o GROUP BY 1""",
+    "p6_later_batches": f"""
+        WITH c AS (SELECT {_FOLDER} AS f, uid, batch_no, count(*) AS n FROM messages WHERE uid IS NOT NULL AND {_FOLDER} IS NOT NULL GROUP BY 1, 2, 3),
+        o AS (SELECT *, row_number() OVER (PARTITION BY f, uid ORDER BY batch_no) AS r FROM c WHERE batch_no IS NOT NULL)
+        SELECT batch_no, CAST(sum(n) AS BIGINT) AS delivered, count(*) FILTER (r = 1) AS accepted, count(*) FILTER (r > 1) AS covered FROM o WHERE batch_no >= 16 GROUP BY 1""",
     "p6_unique_headers": f"""
         WITH m AS (SELECT *, {_FOLDER} AS f FROM messages)
         SELECT id, f AS folder, uid, subject FROM m
