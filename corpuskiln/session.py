@@ -26,21 +26,24 @@ def get_spark(app: str = "corpuskiln", master: str = "local[*]", shuffle_partiti
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the shared folder named by ``spark.checkpoint.dir``.
 
-    The folder is read from the session; only where it is unset (tests on one
-    machine) a temporary one is taken.
+    The folder is read from the session.  Only where it is unset and Spark runs
+    on this machine alone (tests) a temporary one is taken; on a cluster that
+    is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuskiln-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpuskiln-"))
     return df.checkpoint()
 
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work in Python that outweighs a shuffle.
 
-    A table that comes in enough files is left as it is, so large inputs are
-    never shuffled by this.
+    Only a table that comes in fewer splits than there are cores is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
