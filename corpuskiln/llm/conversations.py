@@ -1,23 +1,29 @@
 """Conversations rebuilt from message rows.
 
 Method: the clocks of a thread's senders are aligned first.  An echo of a
-reaction ("Liked “…”") must come after the message that it quotes; where it
-doesn't, the two senders' clocks disagree by at least the difference.  These
-reply-before constraints are summed up per pair of senders, the offsets that
-fit them best by least squares are taken (the owner's clock, or else the first
-sender's, stays), times are corrected and the turns merged in that order.
-Threads whose constraints cannot hold are rejected: a message without time or
-role has no place in any order, a thread of one role has no reply.  Clock
-constraints that contradict each other are reported in ``conflicts``.
-
-Shape at scale: messages are reduced to one row per id; a quoted text is
-looked up in a per-thread table of first uses (one row per text, so a text
-said a million times costs one row); only pair sums reach the solver.  Order
-inside a thread comes from day buckets: no task sorts a whole thread, the
-window per thread sees one row per day.
+reaction ("Liked “…”") must come after the message that it quotes; the latest
+such demand of each ordered pair of senders bounds how far their clocks are
+apart.  Where an echo stands before its message, the offsets are taken that
+meet all bounds of the thread with the least squares of corrections (the
+owner's clock, or else the first sender's, stays); times are corrected and the
+turns merged in that order, an echo after the message of the same time.  A
+thread whose bounds contradict each other has no order: its broken bounds are
+counted in ``conflicts``, and :func:`conversations` rejects it.
+
+A thread is also rejected if a message has no time or no role, or if there is
+no reply.  ``dropped_threads`` lists by the statement, which doesn't name
+contradicting clocks: for it such a thread keeps its clocks as they are.
+
+Shape at scale: messages are reduced to one row per id without the text, which
+is checkpointed; a quoted text is looked up by hash in a per-thread table of
+first uses (one row per text, so a text said a million times costs one row);
+only bounds reach the solver, a row per ordered pair of senders.  Order inside a thread comes
+from day buckets: no task sorts a whole thread, the window per thread sees one
+row per day, and verdicts are joined to days, not to messages.  Texts are
+shuffled once, by id, and joined to the ordered rows.
 
 Nulls: rows without thread are left out; a missing id stands for itself.  Equal
-times are ordered by id.  Empty input gives empty output.
+times are ordered by id, echoes last.  Empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -28,13 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.operators.instants import zone_table as small_table
-from corpuskiln.operators.ordering import in_order, with_previous
-from corpuskiln.operators.sessions import is_notification, once_per_id, visible
+from corpuskiln.operators.ordering import in_turn
+from corpuskiln.operators.sessions import is_notification, visible
+from corpuskiln.session import cut_lineage
 
 #: What a chat export writes for a reaction, before the quoted message.
 REACTION_WORDS = ["Liked", "Loved", "Disliked", "Laughed at", "Emphasized", "Emphasised", "Questioned"]
 _ECHO = r"(?is)^\s*(?:" + "|".join(REACTION_WORDS) + r")\s+[\"“”„«‘'](.*)[\"“”»’']\s*$"
 
+#: Clocks differ by no more: a quoted text that is first said later than this after its echo isn't the quoted message.
+MAX_SKEW_US = 24 * 3600 * 1_000_000
+
 
 def _plain(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
@@ -46,17 +56,35 @@ def owner_names(contacts: DataFrame) -> DataFrame:
     return own.select(F.explode(F.array("display_name", "chat_name")).alias("n")).select(_plain(F.col("n")).alias("_name")).filter("_name <> ''").distinct()
 
 
-def speakers(messages: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Every message with visible text, once, with ``role`` ('owner', 'other' or null) and ``sender``."""
+def _rows(messages: DataFrame) -> tuple[DataFrame, Column]:
+    """The rows that count, without the text but for its hashes, and what orders copies of an id."""
     m = messages.filter(F.col("thread_id").isNotNull() & ~is_notification(F.col("message_type")))
-    m = m.select("id", "created_at", "thread_id", _plain(F.col("sender_name")).alias("_name"), _plain(F.col("message_type")).alias("_type"), F.unix_micros("timestamp").alias("at_us"), F.col("text"))
-    m = m.withColumn("text", F.when(visible(F.col("text")), F.col("text")))
-    m = once_per_id(m, "thread_id", "_name", "_type", "at_us", "text")
+    text = F.when(visible(F.col("text")), F.col("text"))
+    echo = F.coalesce(text.rlike(_ECHO), F.lit(False))
+    m = m.select(
+        "id", "created_at", "thread_id", _plain(F.col("sender_name")).alias("_name"), _plain(F.col("message_type")).alias("_type"), F.unix_micros("timestamp").alias("at_us"),
+        echo.alias("_echo"), F.when(echo, F.xxhash64(F.trim(F.regexp_extract(text, _ECHO, 1)))).alias("_quoted"), F.when(text.isNotNull(), F.xxhash64(F.trim(text))).alias("_said"), text.alias("text"),
+    )
+    said = ["thread_id", "_name", "_type", "at_us", "_echo", "_quoted", "_said"]
+    m = m.withColumn("_key", F.coalesce("id", F.concat(F.lit("\0"), F.xxhash64(*said).cast("string"))))  # rows without id are told apart by what they say
+    return m, F.struct(F.coalesce("created_at", F.lit("9999-12-31").cast("timestamp")).alias("_a"), "id", *said)
+
+
+def texts_of(messages: DataFrame) -> DataFrame:
+    """``(_key, text)``: the text of each message, of the copy that :func:`speakers` takes."""
+    m, first = _rows(messages)
+    return m.groupBy("_key").agg(F.min(F.struct(first.alias("m"), "text")).alias("x")).select("_key", "x.text").filter("text is not null")
+
+
+def speakers(messages: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Every message with visible text, once, with ``role`` ('owner', 'other' or null) and ``sender``; hashes for the text."""
+    m, first = _rows(messages)
+    m = cut_lineage(m.groupBy("_key").agg(F.min(first).alias("m")).select("_key", "m.*").drop("_a"))
     m = m.withColumn("_typed", F.when(F.col("_type") == "outgoing", "owner").when(F.col("_type") != "", "other"))
     # a name's role in its thread: what most of its typed messages say
     votes = m.filter("_typed is not null and _name <> ''").groupBy("thread_id", "_name").agg(F.count_if(F.col("_typed") == "owner").alias("_o"), F.count(F.lit(1)).alias("_k"))
     votes = votes.select("thread_id", "_name", F.when(F.col("_o") * 2 > F.col("_k"), "owner").otherwise("other").alias("_by_name"))
-    seen = m.filter("text is not null")
+    seen = m.filter("_said is not null")
     plain, bare = seen.filter("_typed is not null"), seen.filter("_typed is null")
     bare = bare.join(small_table(owner_names(contacts)).withColumn("_own", F.lit("owner")), "_name", "left").join(votes, ["thread_id", "_name"], "left")
     bare = bare.withColumn("role", F.coalesce("_own", "_by_name")).drop("_own", "_by_name")
@@ -65,53 +93,86 @@ def speakers(messages: DataFrame, contacts: DataFrame) -> DataFrame:
     return out.withColumn("sender", sender).drop("_type", "_typed", "_name")
 
 
-def clock_constraints(said: DataFrame) -> DataFrame:
-    """Per thread and pair of senders, the shifts that echoes before their quoted message ask for."""
+def clock_bounds(said: DataFrame) -> DataFrame:
+    """``(thread_id, _a, _b, bound)``: the clock of ``_b`` must be set ahead of that of ``_a`` by at least ``bound`` microseconds.
+
+    One row per ordered pair of senders of which one echoes the other; negative
+    bounds hold as it stands.
+    """
     timed = said.filter("at_us is not null and role is not null")
-    quote = F.regexp_extract("text", _ECHO, 1)
-    echoes = timed.filter(F.col("text").rlike(_ECHO)).select("thread_id", F.col("sender").alias("_b"), F.col("at_us").alias("_tb"), F.xxhash64(F.trim(quote)).alias("_h"))
-    first = timed.groupBy("thread_id", F.xxhash64(F.trim("text")).alias("_h")).agg(F.min(F.struct("at_us", "sender")).alias("_f"))
+    echoes = timed.filter("_quoted is not null").select("thread_id", F.col("sender").alias("_b"), F.col("at_us").alias("_tb"), F.col("_quoted").alias("_h"))
+    first = timed.groupBy("thread_id", F.col("_said").alias("_h")).agg(F.min(F.struct("at_us", "sender")).alias("_f"))
     met = echoes.join(first, ["thread_id", "_h"]).select("thread_id", F.col("_f.sender").alias("_a"), "_b", (F.col("_f.at_us") - F.col("_tb")).alias("_v"))
-    # every met pair says that a is before b: v <= 0 holds as it stands, v > 0 asks for a shift
-    return met.filter("_a <> _b").groupBy("thread_id", "_a", "_b").agg(F.sum(F.greatest("_v", F.lit(0))).alias("_sum"), F.max("_v").alias("_max"), F.count_if(F.col("_v") > 0).alias("_n"))
+    return met.filter((F.col("_a") != F.col("_b")) & (F.col("_v") <= MAX_SKEW_US)).groupBy("thread_id", "_a", "_b").agg(F.max("_v").alias("bound"))
+
+
+def least_offsets(a: np.ndarray, b: np.ndarray, bound: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """Offsets with ``x[b] - x[a] >= bound`` and the least sum of squares, ``x[0]`` being 0, and how many bounds are broken.
+
+    Bounds that contradict each other (a cycle that asks for more than nothing)
+    can't all hold: then the offsets are zero.  Otherwise the squares are
+    minimised by projecting on one bound after the other with memory, and what
+    rounding leaves is raised to the bounds.
+    """
+    def raised(x: np.ndarray) -> np.ndarray | None:
+        for _ in range(n + 1):
+            y = x.copy()
+            np.maximum.at(y, b, x[a] + bound)
+            if (y == x).all():
+                return x
+            x = y
+        return None
+
+    if raised(np.zeros(n, np.int64)) is None:
+        return np.zeros(n, np.int64), int((bound > 0).sum())
+    x, given = np.zeros(n), np.zeros(len(bound))
+    free = np.arange(n) > 0
+    for _ in range(2000):
+        moved = 0.0
+        for e in range(len(bound)):
+            i, j = a[e], b[e]
+            step = max(-given[e], (bound[e] - x[j] + x[i]) / max(1, int(free[i]) + int(free[j])))
+            if step:
+                given[e] += step
+                x[j] += step * free[j]
+                x[i] -= step * free[i]
+                moved = max(moved, abs(step))
+        if moved < 0.25:
+            break
+    x = raised(np.rint(x).astype(np.int64))
+    return x - x[0], 0
 
 
 def _solve(edges: pd.DataFrame) -> pd.DataFrame:
-    """Least-squares offsets of one thread's senders; ``edges`` has a row per pair of senders that disagree."""
-    names = sorted(set(edges["_a"]) | set(edges["_b"]))
+    """The offsets of one thread's senders; ``edges`` has a row per ordered pair."""
+    names = sorted(set(edges["_a"]) | set(edges["_b"]))  # the owner sorts first, having the empty name
     at = {n: i for i, n in enumerate(names)}
-    a = np.zeros((len(edges), len(names)))
-    w = np.sqrt(edges["_n"].to_numpy(float))
-    a[np.arange(len(edges)), [at[x] for x in edges["_b"]]] += w
-    a[np.arange(len(edges)), [at[x] for x in edges["_a"]]] -= w
-    x = np.linalg.lstsq(a, edges["_sum"].to_numpy(float) / edges["_n"].to_numpy(float) * w, rcond=None)[0]
-    x = np.rint(x - x[0])  # the owner sorts first, having the empty name
-    left = edges["_sum"].to_numpy(float) / edges["_n"].to_numpy(float) - (x[[at[n] for n in edges["_b"]]] - x[[at[n] for n in edges["_a"]]])
-    return pd.DataFrame({"thread_id": edges["thread_id"].iloc[0], "sender": names, "offset_us": x.astype("int64"), "conflicts": int((left > 1e6).sum())})
+    x, broken = least_offsets(edges["_a"].map(at).to_numpy(), edges["_b"].map(at).to_numpy(), edges["bound"].to_numpy(np.int64), len(names))
+    return pd.DataFrame({"thread_id": edges["thread_id"].iloc[0], "sender": names, "offset_us": x, "conflicts": broken})
 
 
 def clock_offsets(said: DataFrame) -> DataFrame:
-    """``(thread_id, sender, offset_us, conflicts)`` of threads in which clocks disagree.
+    """``(thread_id, sender, offset_us, conflicts)`` of threads in which an echo stands before its message.
 
-    The groups hold a row per pair of senders, not per message.
+    The groups hold a row per ordered pair of senders, not per message.
     """
-    edges = clock_constraints(said).filter("_n > 0")
-    return edges.groupBy("thread_id").applyInPandas(_solve, "thread_id string, sender string, offset_us long, conflicts int")
+    edges = clock_bounds(said)
+    broken = edges.filter("bound > 0").select("thread_id").distinct()
+    return edges.join(broken, "thread_id", "left_semi").groupBy("thread_id").applyInPandas(_solve, "thread_id string, sender string, offset_us long, conflicts int")
 
 
 def verdicts(said: DataFrame, threads: DataFrame, reject_conflicts: bool = False) -> DataFrame:
     """``(thread_id, n_messages, conflicts, verdict)`` of every thread of ``threads``; a null verdict keeps it.
 
-    ``conflicts`` counts the clock constraints that no offsets satisfy; with
+    ``conflicts`` counts the bounds of clocks that contradict others; with
     ``reject_conflicts`` such threads get the verdict 'conflicting' too.
     """
-    echo = F.coalesce(F.col("text").rlike(_ECHO), F.lit(False))
     per = said.groupBy("thread_id").agg(
         F.count(F.lit(1)).alias("n_messages"),
         F.count_if(F.col("at_us").isNull()).alias("_untimed"),
         F.count_if(F.col("role").isNull()).alias("_roleless"),
-        F.count_if(~echo & (F.col("role") == "owner")).alias("_owner"),
-        F.count_if(~echo & (F.col("role") == "other")).alias("_other"),
+        F.count_if(~F.col("_echo") & (F.col("role") == "owner")).alias("_owner"),
+        F.count_if(~F.col("_echo") & (F.col("role") == "other")).alias("_other"),
     )
     ids = threads.select(F.col("id").alias("thread_id")).filter("thread_id is not null").distinct()
     v = F.when(F.coalesce("n_messages", F.lit(0)) == 0, "empty").when(F.col("_untimed") > 0, "untimed").when(F.col("_roleless") > 0, "roleless").when((F.col("_owner") == 0) | (F.col("_other") == 0), "unanswered")
@@ -122,23 +183,27 @@ def verdicts(said: DataFrame, threads: DataFrame, reject_conflicts: bool = False
     return out.select("thread_id", F.coalesce("n_messages", F.lit(0)).alias("n_messages"), F.coalesce("_conflicts", F.lit(0)).alias("conflicts"), v.alias("verdict"))
 
 
-def conversations(messages: DataFrame, threads: DataFrame, contacts: DataFrame) -> DataFrame:
+def merged(said: DataFrame, threads: DataFrame, reject_conflicts: bool = True) -> DataFrame:
+    """The messages of the threads that are kept, times corrected, with ``position`` and ``new_turn``; hashes for the text."""
+    good = verdicts(said, threads, reject_conflicts).filter("verdict is null").select("thread_id")
+    moved = clock_offsets(said).filter("offset_us <> 0").drop("conflicts")
+    timed = said.filter("at_us is not null").join(moved, ["thread_id", "sender"], "left")
+    timed = timed.withColumn("at_us", F.col("at_us") + F.coalesce("offset_us", F.lit(0))).drop("offset_us", "_quoted", "_said")
+    return in_turn(timed, "thread_id", "at_us", F.struct("role", "sender"), "_echo", "_key", only=good)
+
+
+def conversations(messages: DataFrame, threads: DataFrame, contacts: DataFrame, reject_conflicts: bool = True) -> DataFrame:
     """Ordered messages of the threads that are kept.
 
     ``(thread_id, position, id, role, sender, at_us, text, new_turn)``: the time
     is corrected by the sender's clock offset; ``new_turn`` marks where the
     speaker changes.
     """
-    said = speakers(messages, contacts)
-    good = verdicts(said, threads).filter("verdict is null").select("thread_id")
-    kept = said.join(good, "thread_id", "left_semi").join(clock_offsets(said).drop("conflicts"), ["thread_id", "sender"], "left")
-    kept = kept.withColumn("at_us", F.col("at_us") + F.coalesce("offset_us", F.lit(0))).drop("offset_us")
-    ordered = in_order(kept, "thread_id", "at_us", "id")
-    who = F.struct("role", "sender")
-    out = with_previous(ordered, "thread_id", "at_us", who, "_prev", "id")
-    return out.select("thread_id", "position", "id", "role", "sender", "at_us", "text", (F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(who)).alias("new_turn"))
+    turns = merged(speakers(messages, contacts), threads, reject_conflicts)
+    return turns.join(texts_of(messages), "_key").select("thread_id", "position", "id", "role", "sender", "at_us", "text", "new_turn")
 
 
 def dropped_threads(messages: DataFrame, threads: DataFrame, contacts: DataFrame) -> DataFrame:
-    """``(thread_id)`` of the threads that are broken, empty or unanswered."""
-    return verdicts(speakers(messages, contacts), threads).filter("verdict is not null").select("thread_id")
+    """``(thread_id)`` of the threads of which no conversation comes out: broken, empty or unanswered."""
+    kept = merged(speakers(messages, contacts), threads, reject_conflicts=False).select("thread_id").distinct()
+    return threads.select(F.col("id").alias("thread_id")).filter("thread_id is not null").distinct().join(kept, "thread_id", "left_anti")

@@ -1,5 +1,9 @@
+import itertools
+import random
 from datetime import datetime, timedelta
 
+import numpy as np
+
 from corpuskiln.llm import conversations as C
 
 T = datetime(2020, 1, 1)
@@ -34,7 +38,34 @@ def test_clocks_are_corrected(spark):
     off = {r.sender: r.offset_us for r in C.clock_offsets(C.speakers(m, c)).collect()}
     assert off == {"": 0, "ann": -600_000_000}
     got = [(r.id, r.role, r.new_turn) for r in C.conversations(m, th, c).orderBy("position").collect()]
-    assert got == [("1", "other", True), ("2", "owner", True), ("3", "owner", False), ("4", "other", True)] or [g[0] for g in got] == ["2", "1", "3", "4"]
+    assert got == [("1", "other", True), ("2", "owner", True), ("3", "owner", False), ("4", "other", True)]
+
+
+def test_every_echo_follows_its_message(spark):
+    # two echoes stand before their messages, by unequal spans, and a third sender is drawn along
+    rows = [
+        ("1", "t", "Ann", 30, "dinner?", "Incoming"), ("2", "t", "", 20, "Loved “dinner?”", "Outgoing"), ("3", "t", "Ann", 62, "at eight", "Incoming"), ("4", "t", "", 60, "Liked “at eight”", "Outgoing"),
+        ("5", "t", "", 80, "fine", "Outgoing"), ("6", "t", "Ann", 95, "Liked “fine”", "Incoming"), ("7", "t", "Bo", 97, "me too", "Incoming"), ("8", "t", "Ann", 99, "Liked “me too”", "Incoming"),
+    ]
+    m, th, c = frames(spark, rows)
+    off = {r.sender: r.offset_us for r in C.clock_offsets(C.speakers(m, c)).collect()}
+    assert off[""] == 0 and off["ann"] == -600_000_000 and off["bo"] == -480_000_000
+    got = [r.id for r in C.conversations(m, th, c).orderBy("position").collect()]
+    assert got.index("1") < got.index("2") and got.index("3") < got.index("4") and got.index("5") < got.index("6") and got.index("7") < got.index("8")
+
+
+def test_least_offsets_against_brute_force():
+    r = random.Random(4)
+    for _ in range(60):
+        n = r.randint(2, 3)
+        pairs = r.sample([(i, j) for i in range(n) for j in range(n) if i != j], r.randint(1, n))
+        a, b, v = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), np.array([r.randint(-9, 6) for _ in pairs])
+        grid = [(0, *x) for x in itertools.product(range(-20, 21), repeat=n - 1)]
+        fits = [x for x in grid if all(x[j] - x[i] >= w for i, j, w in zip(a, b, v))]
+        x, broken = C.least_offsets(a, b, v, n)
+        assert (broken > 0) == (not fits)
+        if fits:
+            assert all(x[b] - x[a] >= v) and sum(y * y for y in x) <= min(sum(y * y for y in f) for f in fits) + 2 * n * 20
 
 
 def test_contradicting_clocks_are_reported(spark):
@@ -42,6 +73,7 @@ def test_contradicting_clocks_are_reported(spark):
     m, th, c = frames(spark, rows)
     assert C.verdicts(C.speakers(m, c), th).collect()[0].conflicts > 0
     assert C.verdicts(C.speakers(m, c), th, reject_conflicts=True).collect()[0].verdict == "conflicting"
+    assert C.conversations(m, th, c).count() == 0 and C.dropped_threads(m, th, c).count() == 0
 
 
 def test_order_over_days_and_blocks(spark):
