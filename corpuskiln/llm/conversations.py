@@ -7,8 +7,10 @@ apart.  Where an echo stands before its message, the offsets are taken that
 meet all bounds of the thread with the least squares of corrections (the
 owner's clock, or else the first sender's, stays); times are corrected and the
 turns merged in that order, an echo after the message of the same time.  A
-thread whose bounds contradict each other has no order: its broken bounds are
-counted in ``conflicts``, and :func:`conversations` rejects it.
+thread whose bounds contradict each other keeps its clocks; the echoes that
+stand before their messages are counted in ``conflicts``, and
+:func:`conversations` rejects it if they are more than ``TOLERATED`` of its
+echoes (some quote a message that is missing, whose words are said again later).
 
 A thread is also rejected if a message has no time or no role, or if there is
 no reply.  ``dropped_threads`` lists by the statement, which doesn't name
@@ -45,6 +47,9 @@ _ECHO = r"(?is)^\s*(?:" + "|".join(REACTION_WORDS) + r")\s+[\"“”„«‘'](.
 #: Clocks differ by no more: a quoted text that is first said later than this after its echo isn't the quoted message.
 MAX_SKEW_US = 24 * 3600 * 1_000_000
 
+#: The share of a thread's echoes that may contradict the others.
+TOLERATED = 0.01
+
 
 def _plain(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
@@ -94,23 +99,24 @@ def speakers(messages: DataFrame, contacts: DataFrame) -> DataFrame:
 
 
 def clock_bounds(said: DataFrame) -> DataFrame:
-    """``(thread_id, _a, _b, bound)``: the clock of ``_b`` must be set ahead of that of ``_a`` by at least ``bound`` microseconds.
+    """``(thread_id, _a, _b, bound, n, early)``: the clock of ``_b`` must be set ahead of that of ``_a`` by at least ``bound`` microseconds.
 
-    One row per ordered pair of senders of which one echoes the other; negative
-    bounds hold as it stands.
+    One row per ordered pair of senders of which one echoes the other, ``n``
+    times, ``early`` of them before the message; negative bounds hold as it
+    stands.
     """
     timed = said.filter("at_us is not null and role is not null")
     echoes = timed.filter("_quoted is not null").select("thread_id", F.col("sender").alias("_b"), F.col("at_us").alias("_tb"), F.col("_quoted").alias("_h"))
     first = timed.groupBy("thread_id", F.col("_said").alias("_h")).agg(F.min(F.struct("at_us", "sender")).alias("_f"))
     met = echoes.join(first, ["thread_id", "_h"]).select("thread_id", F.col("_f.sender").alias("_a"), "_b", (F.col("_f.at_us") - F.col("_tb")).alias("_v"))
-    return met.filter((F.col("_a") != F.col("_b")) & (F.col("_v") <= MAX_SKEW_US)).groupBy("thread_id", "_a", "_b").agg(F.max("_v").alias("bound"))
+    return met.filter((F.col("_a") != F.col("_b")) & (F.col("_v") <= MAX_SKEW_US)).groupBy("thread_id", "_a", "_b").agg(F.max("_v").alias("bound"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("_v") > 0).alias("early"))
 
 
-def least_offsets(a: np.ndarray, b: np.ndarray, bound: np.ndarray, n: int) -> tuple[np.ndarray, int]:
-    """Offsets with ``x[b] - x[a] >= bound`` and the least sum of squares, ``x[0]`` being 0, and how many bounds are broken.
+def least_offsets(a: np.ndarray, b: np.ndarray, bound: np.ndarray, n: int) -> np.ndarray | None:
+    """Offsets with ``x[b] - x[a] >= bound`` and the least sum of squares, ``x[0]`` being 0.
 
-    Bounds that contradict each other (a cycle that asks for more than nothing)
-    can't all hold: then the offsets are zero.  Otherwise the squares are
+    None if the bounds contradict each other (a cycle asks for more than
+    nothing).  Otherwise the squares are
     minimised by projecting on one bound after the other with memory, and what
     rounding leaves is raised to the bounds.
     """
@@ -124,7 +130,7 @@ def least_offsets(a: np.ndarray, b: np.ndarray, bound: np.ndarray, n: int) -> tu
         return None
 
     if raised(np.zeros(n, np.int64)) is None:
-        return np.zeros(n, np.int64), int((bound > 0).sum())
+        return None
     x, given = np.zeros(n), np.zeros(len(bound))
     free = np.arange(n) > 0
     for _ in range(2000):
@@ -140,32 +146,34 @@ def least_offsets(a: np.ndarray, b: np.ndarray, bound: np.ndarray, n: int) -> tu
         if moved < 0.25:
             break
     x = raised(np.rint(x).astype(np.int64))
-    return x - x[0], 0
+    return x - x[0]
 
 
 def _solve(edges: pd.DataFrame) -> pd.DataFrame:
     """The offsets of one thread's senders; ``edges`` has a row per ordered pair."""
     names = sorted(set(edges["_a"]) | set(edges["_b"]))  # the owner sorts first, having the empty name
     at = {n: i for i, n in enumerate(names)}
-    x, broken = least_offsets(edges["_a"].map(at).to_numpy(), edges["_b"].map(at).to_numpy(), edges["bound"].to_numpy(np.int64), len(names))
-    return pd.DataFrame({"thread_id": edges["thread_id"].iloc[0], "sender": names, "offset_us": x, "conflicts": broken})
+    x = least_offsets(edges["_a"].map(at).to_numpy(), edges["_b"].map(at).to_numpy(), edges["bound"].to_numpy(np.int64), len(names))
+    conflicts = int(edges["early"].sum()) if x is None else 0
+    return pd.DataFrame({"thread_id": edges["thread_id"].iloc[0], "sender": names, "offset_us": np.zeros(len(names), np.int64) if x is None else x, "conflicts": conflicts, "rejected": conflicts > TOLERATED * edges["n"].sum()})
 
 
 def clock_offsets(said: DataFrame) -> DataFrame:
-    """``(thread_id, sender, offset_us, conflicts)`` of threads in which an echo stands before its message.
+    """``(thread_id, sender, offset_us, conflicts, rejected)`` of threads in which an echo stands before its message.
 
     The groups hold a row per ordered pair of senders, not per message.
     """
     edges = clock_bounds(said)
     broken = edges.filter("bound > 0").select("thread_id").distinct()
-    return edges.join(broken, "thread_id", "left_semi").groupBy("thread_id").applyInPandas(_solve, "thread_id string, sender string, offset_us long, conflicts int")
+    return edges.join(broken, "thread_id", "left_semi").groupBy("thread_id").applyInPandas(_solve, "thread_id string, sender string, offset_us long, conflicts int, rejected boolean")
 
 
 def verdicts(said: DataFrame, threads: DataFrame, reject_conflicts: bool = False) -> DataFrame:
     """``(thread_id, n_messages, conflicts, verdict)`` of every thread of ``threads``; a null verdict keeps it.
 
-    ``conflicts`` counts the bounds of clocks that contradict others; with
-    ``reject_conflicts`` such threads get the verdict 'conflicting' too.
+    ``conflicts`` counts the echoes that stand before their messages because
+    clocks contradict each other; with ``reject_conflicts`` threads with too
+    many of them get the verdict 'conflicting'.
     """
     per = said.groupBy("thread_id").agg(
         F.count(F.lit(1)).alias("n_messages"),
@@ -176,9 +184,9 @@ def verdicts(said: DataFrame, threads: DataFrame, reject_conflicts: bool = False
     )
     ids = threads.select(F.col("id").alias("thread_id")).filter("thread_id is not null").distinct()
     v = F.when(F.coalesce("n_messages", F.lit(0)) == 0, "empty").when(F.col("_untimed") > 0, "untimed").when(F.col("_roleless") > 0, "roleless").when((F.col("_owner") == 0) | (F.col("_other") == 0), "unanswered")
-    clash = clock_offsets(said).groupBy("thread_id").agg(F.max("conflicts").alias("_conflicts"))
+    clash = clock_offsets(said).groupBy("thread_id").agg(F.max("conflicts").alias("_conflicts"), F.bool_or("rejected").alias("_rejected"))
     if reject_conflicts:
-        v = v.when(F.col("_conflicts") > 0, "conflicting")
+        v = v.when(F.col("_rejected"), "conflicting")
     out = ids.join(per, "thread_id", "left").join(clash, "thread_id", "left")
     return out.select("thread_id", F.coalesce("n_messages", F.lit(0)).alias("n_messages"), F.coalesce("_conflicts", F.lit(0)).alias("conflicts"), v.alias("verdict"))
 
@@ -186,7 +194,7 @@ def verdicts(said: DataFrame, threads: DataFrame, reject_conflicts: bool = False
 def merged(said: DataFrame, threads: DataFrame, reject_conflicts: bool = True) -> DataFrame:
     """The messages of the threads that are kept, times corrected, with ``position`` and ``new_turn``; hashes for the text."""
     good = verdicts(said, threads, reject_conflicts).filter("verdict is null").select("thread_id")
-    moved = clock_offsets(said).filter("offset_us <> 0").drop("conflicts")
+    moved = clock_offsets(said).filter("offset_us <> 0").select("thread_id", "sender", "offset_us")
     timed = said.filter("at_us is not null").join(moved, ["thread_id", "sender"], "left")
     timed = timed.withColumn("at_us", F.col("at_us") + F.coalesce("offset_us", F.lit(0))).drop("offset_us", "_quoted", "_said")
     return in_turn(timed, "thread_id", "at_us", F.struct("role", "sender"), "_echo", "_key", only=good)
