@@ -3,18 +3,23 @@
 Method: a semi-Markov model over the lines of a body.  A body is cut into
 segments of four kinds (authored, quoted, signature, disclaimer); the best
 segmentation is found by dynamic programming over segment ends.  A segment is
-scored by the words of its lines (log-odds learned from the corpus), by its
-length, by cues at its borders (separators, attributions, header blocks, blank
-lines, the body's end) and by the whole span (one prefix throughout, contact
-data beside a name, the density of legal words).
-
-The word log-odds are trained on all mails: cues that leave no doubt (lines
-below a ``--``, lines with contact data, paragraphs dense with legal words)
-label lines, and words are counted by label.  Words are hashed into
-``BUCKETS`` buckets, so counts of any corpus fit into one small array.
-
-Shape at scale: two narrow passes over whole bodies, no shuffle of text; the
-counts are summed by bucket before they reach the driver.
+scored by the words and cues of its lines (log-odds learned from the corpus),
+by its length (beyond the usual one each line costs more, none is too many), by
+cues at its borders (separators, attributions, header blocks, blank lines, the
+body's end) and by the whole span (one prefix throughout, the density of legal
+words).
+
+The log-odds of words and of the cues "contact data", "the sender's name" and
+"many words" are trained on all mails: what leaves no doubt (lines below a
+``--``, blocks with contact data, paragraphs dense with legal words) labels
+lines, and words and cues are counted by label.  Words are hashed into
+``BUCKETS`` buckets, so counts of any corpus fit into one small array.  The
+weights of borders and quotation marks are set by hand, below.
+
+Shape at scale: two narrow passes over whole bodies; the counts are summed by
+bucket before they reach the driver.  A body's work grows with its lines.
+Bodies are shuffled only where a table comes in fewer splits than there are
+cores.
 
 Nulls and empty bodies have no lines and give nothing.  Line ends may be LF or
 CR LF.  Repeated deliveries are rows of their own.
@@ -24,7 +29,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -43,7 +47,7 @@ _PREFIX = re.compile(r"^(?:\s*(?:[>|»]|[A-Z]{1,3}>)\s?)+")
 _TAG = re.compile(r"</?(?:div|p|br|span|font|b|i|u|a|html|body|blockquote|pre|table|tr|td)\b[^>\n]*>", re.I)
 _DATE = r"(?=.*\d)"
 _INTRO = re.compile(
-    r"^(?:-+ ?)?(?:" + _DATE + r"(?:On|Am|Le|El|At|Em|Il|Den|Op)\s.{3,160}?\b(?:wrote|schrieb|écrit|escribió|said|writes|escreveu|ha scritto)\b[^:]{0,120}:"
+    r"^(?:-+ ?)?(?:" + _DATE + r"(?:On|Am|Le|El|At|Em|Il|Den|Op)\s.{3,240}?\b(?:wrote|schrieb|écrit|escribió|said|writes|escreveu|ha scritto)\b[^:]{0,120}:"
     + r"|" + _DATE + r"[^:]{2,110}(?:\s<\S+@\S+>)?\s(?:wrote on|schrieb am|escribió el|a écrit le|said on)\s[\d][\d.\-/: ]*:"
     + r"|[^:]{0,110}<\S+@\S+>\s(?:wrote|schrieb|a écrit|escribió|said)\s?:)$"
 )
@@ -60,101 +64,153 @@ _TEL = re.compile(r"(?:\+\d[\d ().\-]{6,}\d|\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}|\d
 _SEP = re.compile(r"^(?:--\s?|_{4,}|-{3,}|={3,}|\*{4,}|~{3,}|#{3,})$")
 _DEVICE = re.compile(
     r"^(?:sent (?:from|via|with|using)\b.{2,60}|(?:von|mit) (?:meinem|meiner)\b.{2,50}gesendet\.?|gesendet (?:von|mit|über)\b.{2,50}|enviado (?:desde|con)\b.{2,50}|envoyé (?:de|depuis|avec|à partir)\b.{2,50}|get \S.{2,40} for (?:mobile|ios|android)\b.*|inviato da\b.{2,50}|typed with .{2,50}|diese nachricht wurde von .{2,40} gesendet\.?)$",
-    re.I,
 )
 _FOOTER = re.compile(
     r"(?:^you (?:get|receive|are receiving) this\b.*(?:list|because|subscrib)|^to (?:leave|unsubscribe|stop)\b.*(?:https?://|www\.|@|:)|^unsubscribe\b|^this e-?mail (?:was|has been) (?:checked|scanned)\b|^scanned by\b|\bno (?:threats|virus(?:es)?) found\b|^virus-free\b|^(?:sie erhalten|abmelden|para darse de baja|pour vous désabonner|se désabonner)\b)",
-    re.I,
 )
 
+# these are matched with lower-case text
 #: Words of legal notices, by stem, and what such notices are called.
 LEGAL = re.compile(
     r"\b(?:confidential\w*|privileged|intended (?:solely|only)|meant only|addressee\w*|recipients?|disclos\w+|prohibited|liabilit\w+|transmission|disclaimer|copying|dissemination|unauthori[sz]ed|attachments?|delete it|in error|views expressed|before printing"
     r"|vertraulich\w*|empfänger\w*|weitergabe|untersagt|irrtümlich\w*|anlagen|verständigen|unzulässig"
     r"|confidencial\w*|destinatari\w*|prohibid\w*|difusión|bórrelo|remitente"
     r"|confidentiel\w*|destinataires?|interdite?s?|diffusion|supprimer|supprimez|expéditeur)\b",
-    re.I,
 )
-_NOTICE = re.compile(r"^\s*(?:\*{3}\s|(?:confidentiality notice|legal note|legal notice|disclaimer|notice|hinweis|rechtlicher hinweis|aviso legal|aviso|avis|avis de confidentialité|mention légale|vertraulichkeitshinweis)\s?[:–\-])", re.I)
-_GREETING = re.compile(r"^(?:hi|hello|hey|dear|hola|buenos días|buenas tardes|hallo|liebe|lieber|guten (?:morgen|tag|abend)|bonjour|salut|chère?|good (?:morning|day|evening)|moin|estimad[oa])\b.{0,40}$", re.I)
-_CLOSING = re.compile(r"^(?:best|best (?:regards|wishes)|kind regards|regards|cheers|thanks|many thanks|thank you|warmly|talk soon|yours|sincerely|love|take care|viele grüße|liebe grüße|mit freundlichen grüßen|gruß|danke|un saludo|saludos|abrazos|gracias|cordialement|merci|bien à toi|à bientôt|amitiés|bises)[,.!]?$", re.I)
+_NOTICE = re.compile(r"^\s*(?:\*{3}\s|(?:confidentiality notice|legal note|legal notice|disclaimer|notice|hinweis|rechtlicher hinweis|aviso legal|aviso|avis|avis de confidentialité|mention légale|vertraulichkeitshinweis)\s?[:–\-])")
+_GREETING = re.compile(r"^(?:hi|hello|hey|dear|hola|buenos días|buenas tardes|hallo|liebe|lieber|guten (?:morgen|tag|abend)|bonjour|salut|chère?|good (?:morning|day|evening)|moin|estimad[oa])\b.{0,40}$")
+_CLOSING = re.compile(r"^(?:best|best (?:regards|wishes)|kind regards|regards|cheers|thanks|many thanks|thank you|warmly|talk soon|yours|sincerely|love|take care|viele grüße|liebe grüße|mit freundlichen grüßen|gruß|danke|un saludo|saludos|abrazos|gracias|cordialement|merci|bien à toi|à bientôt|amitiés|bises)[,.!]?$")
+_WROTE = re.compile(r"\b(?:wrote|schrieb|écrit|escribió|said|writes|escreveu|ha scritto)\b")
+_DIGIT = re.compile(r"\d")
+_FORWARD_WORDS = ("begin ", "anfang ", "début ", "inicio ", "comienzo ")
+_DEVICE_WORDS = ("sent ", "von ", "mit ", "gesendet ", "enviado ", "envoyé ", "get ", "inviato ", "typed ", "diese ")
+#: Characters beyond which no attribution matches.
+_LONGEST = 420
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 
 
+class Said:
+    """What a line's text says by itself; lines of the same text share it."""
+
+    __slots__ = ("text", "forward", "sep", "device", "footer", "greeting", "closing", "contact", "legal", "words", "notice", "head", "buckets", "odds")
+
+    def __init__(self, text: str):
+        low = text.lower()
+        self.text = text
+        self.words = len(text.split())
+        self.forward = bool(_FORWARD.match(text)) if text[:1] in "-_=~*> \t[" or low.startswith(_FORWARD_WORDS) else False
+        self.sep = bool(_SEP.match(text))
+        self.device = bool(_DEVICE.match(low)) if low.startswith(_DEVICE_WORDS) else False
+        self.footer = bool(_FOOTER.search(low))
+        self.greeting = bool(_GREETING.match(low))
+        self.closing = bool(_CLOSING.match(low)) if self.words <= 4 else False
+        self.contact = bool(_DIGIT.search(text) and _TEL.search(text)) + bool("@" in text and _ADDRESS.search(text)) + bool(("://" in text or "www." in text) and _URL.search(text))
+        self.legal = len(LEGAL.findall(low)) if self.words > 1 else 0
+        self.notice = bool(_NOTICE.match(low))
+        self.head = _HEADER.match(text) if ":" in text else None
+        self.buckets: list[int] | None = None
+        self.odds: tuple[float, float] | None = None
+
+
 class Line:
-    """One line of a body that isn't blank, with its cues."""
+    """One line of a body that isn't blank: what it says, and its place among the others."""
 
-    __slots__ = ("no", "text", "quoted", "html", "gap", "intro", "forward", "header", "sep", "device", "footer", "greeting", "closing", "contact", "legal", "words", "notice")
+    __slots__ = ("no", "said", "quoted", "html", "gap", "intro", "header")
 
-    def __init__(self, no: int, text: str, quoted: bool, html: bool, gap: bool):
-        self.no, self.text, self.quoted, self.html, self.gap = no, text, quoted, html, gap
+    def __init__(self, no: int, said: Said, quoted: bool, html: bool, gap: bool):
+        self.no, self.said, self.quoted, self.html, self.gap = no, said, quoted, html, gap
         self.intro = self.header = False
-        self.forward = bool(_FORWARD.match(text))
-        self.sep = bool(_SEP.match(text))
-        self.device = bool(_DEVICE.match(text))
-        self.footer = bool(_FOOTER.search(text))
-        self.greeting = bool(_GREETING.match(text))
-        self.closing = bool(_CLOSING.match(text))
-        self.contact = bool(_TEL.search(text)) + bool(_ADDRESS.search(text)) + bool(_URL.search(text))
-        self.legal = len(LEGAL.findall(text))
-        self.notice = bool(_NOTICE.match(text))
-        self.words = len(text.split())
 
+    @property
+    def text(self) -> str:
+        return self.said.text
 
-def lines_of(body: str) -> list[Line]:
-    """The lines that aren't blank; attributions and header blocks are marked over all their lines."""
-    out: list[Line] = []
-    depth, gap = 0, True
-    for no, raw in enumerate(body.split("\n"), 1):
-        raw = raw.rstrip("\r")
-        if not raw.strip():
-            gap = True
-            continue
-        bare = raw
-        low = raw.lower() if "<" in raw else ""
-        html = bool(low) and bool(_TAG.match(raw.lstrip()))
-        opened, closed = low.count("<blockquote"), low.count("</blockquote")
-        inside = depth > 0 or opened > 0 or closed > 0
-        depth = max(0, depth + opened - closed)
-        if html:
-            bare = _TAG.sub("", raw)
-        bare = bare.strip()
-        m = _PREFIX.match(bare) or (_PREFIX.match(raw) if not html else None)
-        quoted = inside or bool(m)
-        if not bare and not inside:
-            gap = True  # mark-up alone
-            continue
-        out.append(Line(no, bare[m.end() :].strip() if m else bare, quoted, html, gap))
-        gap = False
-    n = len(out)
-    for i, ln in enumerate(out):
-        if ln.quoted or ln.intro:
+
+class Reader:
+    """Takes bodies apart into lines; texts that come again are read once, as far as ``KEPT`` of them go."""
+
+    KEPT = 100_000
+
+    def __init__(self) -> None:
+        self.known: dict[str, Said] = {}
+
+    def said(self, text: str) -> Said:
+        got = self.known.get(text)
+        if got is None:
+            got = Said(text)
+            if len(self.known) < self.KEPT:
+                self.known[text] = got
+        return got
+
+    def __call__(self, body: str) -> list[Line]:
+        """The lines that aren't blank; attributions and header blocks are marked over all their lines."""
+        out: list[Line] = []
+        depth, gap = 0, True
+        for no, raw in enumerate(body.split("\n"), 1):
+            bare = raw.strip()
+            if not bare:
+                gap = True
+                continue
+            html = inside = False
+            if "<" in raw or depth:
+                low = raw.lower()
+                html = bare[0] == "<" and bool(_TAG.match(bare))
+                opened, closed = low.count("<blockquote"), low.count("</blockquote")
+                inside = depth > 0 or opened > 0 or closed > 0
+                depth = max(0, depth + opened - closed)
+                if html:
+                    bare = _TAG.sub("", raw).strip()
+            m = _PREFIX.match(bare) if bare[:1] in ">|»" or (">" in bare[:8] and bare[:1].isupper()) else None
+            if not bare and not inside:
+                gap = True  # mark-up alone
+                continue
+            out.append(Line(no, self.said(bare[m.end() :].strip() if m else bare), inside or bool(m), html, gap))
+            gap = False
+        _mark_attributions(out)
+        _mark_headers(out)
+        return out
+
+
+def _mark_attributions(lines: list[Line]) -> None:
+    """An attribution ends with a colon and begins in the same paragraph, with a word that attributions begin with, or else as late as it can."""
+    for j, last in enumerate(lines):
+        if last.quoted or not last.text.endswith(":"):
             continue
-        joined = ln.text
-        for j in range(i, min(i + 3, n)):
-            if j > i:
-                if out[j].quoted or out[j].gap:
-                    break
-                joined += " " + out[j].text
-            if joined.endswith(":") and len(joined) < 260 and _INTRO.match(joined):
-                # it begins where it can begin last, unless with a word that attributions begin with
-                if j > i and not _INTRO_WORD.match(ln.text) and any(_INTRO.match(" ".join(out[x].text for x in range(k, j + 1))) for k in range(i + 1, j + 1)):
+        joined, start, i = "", None, j
+        while i >= 0 and not lines[i].quoted and not lines[i].intro:
+            joined = lines[i].text + (" " + joined if joined else "")
+            if i == j - 1 and start is None and not _WROTE.search(joined):
+                break
+            if _INTRO.match(joined):
+                worded = bool(_INTRO_WORD.match(lines[i].text))
+                if start is None or worded:
+                    start = i
+                if worded:
                     break
-                for k in range(i, j + 1):
-                    out[k].intro = True
+            if lines[i].gap or len(joined) > _LONGEST:
                 break
-    i = 0
+            i -= 1
+        if start is not None:
+            for k in range(start, j + 1):
+                lines[k].intro = True
+
+
+def _mark_headers(lines: list[Line]) -> None:
+    i, n = 0, len(lines)
     while i < n:
         j, keys, addressed = i, set(), False
-        while j < n and not out[j].quoted and (j == i or not out[j].gap) and (m := _HEADER.match(out[j].text)):
+        while j < n and not lines[j].quoted and (j == i or not lines[j].gap) and (m := lines[j].said.head):
             keys.add(m["k"])
             addressed |= m["k"] in ("From", "Von", "De") and bool(_ADDRESS.search(m["v"]))
             j += 1
         if j - i >= 2 and len(keys) >= 2 and addressed:
             for k in range(i, j):
-                out[k].header = True
+                lines[k].header = True
         i = max(j, i + 1)
-    return out
+
+
+def lines_of(body: str) -> list[Line]:
+    return Reader()(body)
 
 
 # --- word log-odds --------------------------------------------------------
@@ -167,26 +223,60 @@ def _bucket(word: str) -> int:
     return (h >> 7) % BUCKETS
 
 
+#: Cues of a line whose log-odds are learned like those of words; their buckets follow the words'.
+CUES = ["contact", "contacts", "named", "wordy", "apart", "inner"]
+WIDTH = BUCKETS + len(CUES)
+
+
 class _Features:
     """Buckets of a line's words and shapes; words are hashed once."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
 
-    def __call__(self, ln: Line) -> list[int]:
-        t = _ADDRESS.sub(" EMAIL ", _URL.sub(" URL ", ln.text))
+    def __call__(self, said: Said) -> list[int]:
+        if said.buckets is not None:
+            return said.buckets
+        t = said.text
+        if "@" in t or "://" in t or "www." in t:
+            t = _ADDRESS.sub(" EMAIL ", _URL.sub(" URL ", t))
         shapes = ["#short" if len(t) < 42 else "#long", "#caps" if t.isupper() and len(t) > 3 else "#mixed", "#stop" if t[-1:] in ".!?" else "#open", "#boxed" if t[:1] == "[" and t[-1:] == "]" else "#plain"]
         out = []
-        for w in [*shapes, *("0" if x[0].isdigit() else x.lower() for x in _TOKEN.findall(t))]:
+        for w in [*shapes, *("0" if x[0] in "0123456789" else x for x in _TOKEN.findall(t.lower()))]:
             k = self.known.get(w)
             if k is None:
                 k = _bucket(w)
                 if len(self.known) < 200_000:
                     self.known[w] = k
             out.append(k)
+        said.buckets = out
         return out
 
 
+def names_of(sender: str) -> list[str]:
+    return [w.lower() for w in re.findall(r"[^\W\d_]{3,}", sender)]
+
+
+def named(said: Said, names: list[str]) -> bool:
+    """Whether a short line has two words of the sender's name."""
+    if said.words > 8 or len(names) < 2:
+        return False
+    low = said.text.lower()
+    return sum([w in low for w in names]) > 1
+
+
+def cues(ln: Line, names: list[str]) -> list[int]:
+    """Which of ``CUES`` a line shows, by number."""
+    said = ln.said
+    out = [1 if said.contact > 1 else 0] if said.contact else []
+    if named(said, names):
+        out.append(2)
+    if said.words > 9 and not said.device:
+        out.append(3)
+    out.append(4 if ln.gap else 5)
+    return out
+
+
 def seed_labels(lines: list[Line]) -> list[int | None]:
     """Labels that cues leave no doubt about; quoted lines are judged like others, so that quotes teach too."""
     out: list[int | None] = [None] * len(lines)
@@ -196,11 +286,11 @@ def seed_labels(lines: list[Line]) -> list[int | None]:
     def close() -> None:
         if not block:
             return
-        legal = sum(lines[i].legal for i in block)
-        words = sum(lines[i].words for i in block)
-        if legal >= 2 and legal * 14 >= words and not any(lines[i].greeting for i in block):
+        legal = sum(lines[i].said.legal for i in block)
+        words = sum(lines[i].said.words for i in block)
+        if legal >= 2 and legal * 14 >= words and not any(lines[i].said.greeting for i in block):
             kind = D
-        elif any(lines[i].contact for i in block) and all(lines[i].words <= 8 for i in block) and len(block) <= 6:
+        elif any(lines[i].said.contact for i in block) and all(lines[i].said.words <= 8 for i in block) and len(block) <= 6:
             kind = S
         else:
             kind = A
@@ -213,21 +303,21 @@ def seed_labels(lines: list[Line]) -> list[int | None]:
         if ln.gap:
             close()
             below = 0
-        if ln.intro or ln.header or ln.forward or not ln.text:
+        if ln.intro or ln.header or ln.said.forward or not ln.text:
             close()
             out[i] = Q
             below = 0
-        elif ln.device or ln.footer:
-            if ln.device and not ln.gap and 0 < len(block) <= 3 and all(lines[k].words <= 6 for k in block):
+        elif ln.said.device or ln.said.footer:
+            if ln.said.device and not ln.gap and 0 < len(block) <= 3 and all(lines[k].said.words <= 6 for k in block):
                 for k in block:  # what stands right above "Sent from ..."
                     out[k] = S
                 block.clear()
             close()
-            out[i] = S if ln.device else D
-        elif ln.sep:
+            out[i] = S if ln.said.device else D
+        elif ln.said.sep:
             close()
             below, out[i] = 5, None
-        elif below and ln.words <= 8:
+        elif below and ln.said.words <= 8:
             below -= 1
             out[i] = S
         else:
@@ -238,164 +328,248 @@ def seed_labels(lines: list[Line]) -> list[int | None]:
 
 
 def count_words(mails: DataFrame) -> DataFrame:
-    """``(label, bucket, n)`` over all bodies; at most three times ``BUCKETS`` rows."""
+    """``(label, bucket, n)`` over all bodies; at most three times ``WIDTH`` rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, features = np.zeros((4, BUCKETS), np.int64), _Features()
+        table, features, read = np.zeros((4, WIDTH), np.int64), _Features(), Reader()
         for pdf in batches:
-            for body in pdf["raw_body"]:
-                lines = lines_of(body)
+            seen: list[list[int]] = [[], [], [], []]
+            for body, sender in zip(pdf["raw_body"], pdf["from_name"]):
+                lines, names = read(body), names_of(sender or "")
                 for ln, k in zip(lines, seed_labels(lines)):
                     if k is not None and k != Q:
-                        np.add.at(table[k], features(ln), 1)
+                        seen[k] += features(ln.said)
+                        seen[k] += [BUCKETS + c for c in cues(ln, names)]
+            for k in (A, S, D):
+                table[k] += np.bincount(seen[k], minlength=WIDTH)
         at = np.nonzero(table)
         yield pd.DataFrame({"label": at[0].astype("int32"), "bucket": at[1].astype("int32"), "n": table[at]})
 
-    part = spread(mails.select("raw_body").filter("raw_body is not null and raw_body <> ''")).mapInPandas(count, "label int, bucket int, n long")
+    part = spread(mails.select("raw_body", "from_name").filter("raw_body is not null and raw_body <> ''")).mapInPandas(count, "label int, bucket int, n long")
     return part.groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
 def word_odds(counts: pd.DataFrame) -> np.ndarray:
-    """Log-odds of each bucket for signature and disclaimer against authored text, bounded."""
-    n = np.zeros((4, BUCKETS))
+    """Log-odds of each word bucket, and of each cue, for signature and disclaimer against authored text, bounded."""
+    n = np.zeros((4, WIDTH))
     if len(counts):
         n[counts["label"].to_numpy(), counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    lines = n[:, BUCKETS + 4 : BUCKETS + 6].sum(1, keepdims=True)  # every line stands apart or doesn't
+    share = (n[:, BUCKETS:] + 0.5) / (lines + 1.0)
+    n = n[:, :BUCKETS]
     # each kind is mixed with all kinds by the same weight, so that a word never seen speaks for none
     q = (n[[A, S, D]].sum(0) + 0.01) / (n[[A, S, D]].sum() + 0.01 * BUCKETS)
     p = np.log(0.8 * n / np.maximum(n.sum(1, keepdims=True), 1.0) + 0.2 * q)
-    out = np.zeros((4, BUCKETS))
-    out[S], out[D] = p[S] - p[A], p[D] - p[A]
+    out = np.zeros((4, WIDTH))
+    for k in (S, D):
+        out[k, :BUCKETS] = p[k] - p[A]
+        if lines[k, 0] and lines[A, 0]:
+            out[k, BUCKETS:] = np.log(share[k]) - np.log(share[A])
     return np.clip(out, -3.0, 3.0)
 
 
 # --- the model ------------------------------------------------------------
 
-#: Weights of cues, and what a further line of a segment costs beyond its usual length.
+#: Usual lines of a segment, and what each further one costs.
 USUAL_LENGTH = {S: 6, D: 9}
 OVER_LENGTH = 3.0
 NEW_SEGMENT = 2.0
+AFTER_SIGNATURE = 4.0
+#: Weights of learned log-odds: of the words for signature and disclaimer, and of the cues.
+WORDS_S, WORDS_D, CUES_S = 1.0, 0.6, 0.8
+_NEVER = -1e18
+
+
+def _borders(lines: list[Line]) -> list[int]:
+    """Where segments may begin, and the end; inside a run of marked lines none does."""
+    out, prev = [0], lines[0]
+    for i in range(1, len(lines)):
+        ln = lines[i]
+        if not (ln.quoted and prev.quoted):
+            s, p = ln.said, prev.said
+            if (
+                ln.gap or ln.quoted != prev.quoted or s.words <= 5 or p.words <= 5 or ln.html != prev.html or ln.intro != prev.intro or ln.header != prev.header or s.forward or p.forward or s.sep or p.sep or p.closing
+                or s.device or p.device or s.footer or p.footer or s.notice or s.text[:1] in "[~"
+            ):
+                out.append(i)
+        prev = ln
+    out.append(len(lines))
+    return out
 
 
-def _border(prev: Line | None, ln: Line) -> bool:
-    """Whether a segment may begin at a line; inside a run of marked lines none does."""
-    if prev is not None and ln.quoted and prev.quoted:
-        return False
-    return (
-        prev is None or ln.gap or ln.quoted != prev.quoted or ln.html != prev.html or ln.intro != prev.intro or ln.header != prev.header or ln.forward or prev.forward or ln.sep or prev.sep or prev.closing
-        or ln.device or prev.device or ln.footer or prev.footer or ln.notice or ln.text[:1] in "[~" or ln.words <= 5 or prev.words <= 5
-    )
-
+def decode(lines: list[Line], odds: list[list[float]], features: _Features, sender: str = "") -> list[int]:
+    """The kind of each line, by the best segmentation.
 
-def decode(lines: list[Line], odds: np.ndarray, features: _Features, sender: str = "") -> list[int]:
-    """The kind of each line, by the best segmentation."""
+    The scores of authored and quoted segments are sums over lines, so the
+    best one that ends at a border follows from the best at the border before.
+    Signatures and disclaimers have features of the whole span; their starts
+    are tried from the nearest on, until none further back can win.
+    """
     n = len(lines)
     if not n:
         return []
-    names = {w.lower() for w in re.findall(r"[^\W\d_]{3,}", sender)}
-    line_s, line_d = np.zeros(n + 1), np.zeros(n + 1)
+    names = names_of(sender)
+    odds_s, odds_d, cue = odds[S].__getitem__, odds[D].__getitem__, odds[S][BUCKETS:]
+    starts = _borders(lines)
+    # at each border the sums over the lines before it: what they say for a signature and a disclaimer, legal words, words and footers,
+    # authored, quoted by prefix, quoted below an attribution (in text and mark-up, in text alone), quoted to the end;
+    # and from which line on a span up to here is without what a signature or a disclaimer can't have
+    at: list[tuple] = []
+    f_s = f_d = sum_a = sum_q = sum_c = sum_h = sum_o = 0.0
+    legal = words = footers = wall_s = wall_d = 0
+    closed = any_html = False
     for i, ln in enumerate(lines):
-        if ln.sep:
-            continue  # a rule says nothing by its characters
-        f = features(ln)
-        scale = 1.0 / max(1.0, len(f) / 6.0)  # words of a line depend on each other
-        line_s[i + 1] = odds[S][f].sum() * scale
-        line_d[i + 1] = odds[D][f].sum() * scale
-    run = lambda xs: [0, *accumulate(xs)]
-    cum_s, cum_d = np.cumsum(line_s).tolist(), np.cumsum(line_d).tolist()
-    marked = run(ln.quoted for ln in lines)
-    heads = run(ln.intro or ln.header or ln.forward for ln in lines)
-    legal, words = run(ln.legal for ln in lines), run(ln.words for ln in lines)
-    contact = run(min(2, ln.contact) for ln in lines)
-    device, footer = run(ln.device for ln in lines), run(ln.footer for ln in lines)
-    talk = run(ln.greeting or ln.closing for ln in lines)
-    given = run(ln.words == 1 and i > 0 and lines[i - 1].closing for i, ln in enumerate(lines))
-    named = run(ln.words <= 8 and sum(w in ln.text.lower() for w in names) >= 2 for ln in lines)
-    wordy = run(ln.words > 9 and not ln.device for ln in lines)
-    gaps = run(ln.gap for ln in lines)
-    any_html = any(ln.html for ln in lines)
-    starts = [i for i in range(n) if _border(lines[i - 1] if i else None, lines[i])] + [n]
-
-    def follows_plain(i: int) -> bool:
-        """Whether what an attribution or header block at ``i`` brings in carries no prefix of its own."""
+        if i == starts[len(at)]:
+            at.append((f_s, f_d, legal, words, footers, sum_a, sum_q, sum_c, sum_h, sum_o, wall_s, wall_d))
+        said = ln.said
+        talk = said.greeting or said.closing
+        if said.odds is None:
+            f = features(said)
+            scale = 6.0 / max(6.0, len(f))  # words of a line depend on each other
+            s, d = (0.0, 0.0) if said.sep else (sum(map(odds_s, f)) * scale, sum(map(odds_d, f)) * scale)
+            known = CUES_S * ((cue[1] if said.contact > 1 else cue[0] if said.contact else 0.0) + (cue[3] if said.words > 9 and not said.device else 0.0))
+            said.odds = (WORDS_S * s + 5.0 * said.device - 3.0 * said.footer + known, WORDS_D * d + 5.0 * said.footer - 4.0 * talk)
+        s, d = said.odds
+        f_s += s
+        f_d += d
+        if ln.gap:
+            f_s -= 3.0
+            f_d -= 4.0
+        if names and named(said, names):
+            f_s += CUES_S * cue[2]
+        legal += said.legal
+        words += said.words
+        footers += said.footer
+        head = ln.intro or ln.header or said.forward
+        if head:
+            sum_a -= 40.0
+        if said.device or said.footer:
+            sum_a -= 6.0 * (said.device + said.footer)
+        sum_o += 2.0
+        if ln.quoted:
+            sum_a -= 9.0
+            sum_q += 6.0
+            sum_o += 4.5
+        else:
+            sum_q -= 9.0
+        rest = not ln.quoted and not head
+        sum_c += -9.0 if rest and not ln.html else 4.0
+        sum_h += -9.0 if rest else 4.0
+        any_html |= ln.html
+        if ln.quoted or head:
+            wall_s = wall_d = i + 1
+        elif talk or (closed and said.words == 1):
+            wall_s = i + 1
+        closed = said.closing
+    at.append((f_s, f_d, legal, words, footers, sum_a, sum_q, sum_c, sum_h, sum_o, wall_s, wall_d))
+
+    def opens(i: int) -> bool | None:
+        """Whether what an attribution or header block at ``i`` brings in carries no prefix of its own; None where none is."""
+        ln = lines[i]
+        if not (ln.intro or ln.header or ln.said.forward or (ln.said.sep and i + 1 < n and lines[i + 1].header)):
+            return None
         j = i
-        while j < n and (lines[j].intro or lines[j].header or lines[j].forward or lines[j].sep):
+        while j < n and (lines[j].intro or lines[j].header or lines[j].said.forward or lines[j].said.sep):
             j += 1
-        return j < n and not lines[j].quoted and not (lines[j].html and not lines[i].html)
-
-    opens = {i: follows_plain(i) for i in starts[:-1] if lines[i].intro or lines[i].header or lines[i].forward or (lines[i].sep and i + 1 < n and lines[i + 1].header)}
-
-    def score(kind: int, i: int, j: int) -> float | None:
-        m, first = j - i, lines[i]
-        inside = marked[j] - marked[i]
-        head = heads[j] - heads[i]
-        if kind == A:
-            return -9.0 * inside - 40.0 * head - 6.0 * (device[j] - device[i]) - 6.0 * (footer[j] - footer[i])
-        if kind == Q:
-            if i in opens:
-                if opens[i]:  # an open quotation runs to the end, whatever it quotes itself
-                    return 2.0 * m + 4.5 * inside + 3.0 if j == n else None
-                rest = m - inside - head - (1 if first.sep else 0)
-                if rest and any_html and not first.html:
-                    rest -= sum(ln.html and not ln.quoted and not (ln.intro or ln.header or ln.forward) for ln in lines[i:j])
-                return 4.0 * (m - rest) + 2.0 - 9.0 * rest
-            return 6.0 * inside - 9.0 * (m - inside) + 0.5
-        if inside or head:
-            return None
-        over = -OVER_LENGTH * max(0, m - USUAL_LENGTH[kind])
-        if kind == S:
-            if talk[j] - talk[i] or given[j] - given[i] or m > 14:
-                return None
-            s = cum_s[j] - cum_s[i] + over + 5.0 * (device[j] - device[i]) + 1.5 * (contact[j] - contact[i]) + 2.0 * (named[j] - named[i])
-            s += 0.0 if not first.sep else 3.0 if m > 1 and not lines[i + 1].gap else -6.0
-            # a signature stands apart, above it and nowhere inside
-            s += 0.5 if first.gap else -0.5 if first.html or first.sep or first.device else -2.5
-            s -= 3.0 * (gaps[j] - gaps[i + 1])
-            s -= 2.0 * (wordy[j] - wordy[i])
-            s -= 3.0 * (footer[j] - footer[i])
-            return s
-        w = max(1, words[j] - words[i])
-        density = (legal[j] - legal[i]) / w
-        s = 0.6 * (cum_d[j] - cum_d[i]) + over + 5.0 * (footer[j] - footer[i]) + (4.0 if first.notice and density > 0.04 else 0.0)
-        s += 3.0 * min(3, legal[j] - legal[i]) * (1.0 if density > 0.05 else 0.2)
-        s += 0.5 if first.gap else -1.5
-        s -= 4.0 * (gaps[j] - gaps[i + 1])
-        s += 0.0 if not first.sep else 2.0 if m > 1 and not lines[i + 1].gap else -6.0
-        s -= 4.0 * (talk[j] - talk[i])
-        if footer[j] == footer[i] and legal[j] - legal[i] < 2:
-            s -= 4.0
-        return s
-
-    best: dict[tuple[int, int], float] = {(0, A): 0.0, (0, Q): 0.0, (0, S): -1.0, (0, D): -1.0}
-    back: dict[tuple[int, int], tuple[int, int]] = {}
-    top = {0: (0.0, -1)}  # of segmentations that end at a line: score and last kind
-    for b, j in enumerate(starts):
-        if j == 0:
-            continue
+        return j < n and not lines[j].quoted and not (lines[j].html and not ln.html)
+
+    def begin(i: int) -> tuple[float, float]:
+        """What the first line of a signature or disclaimer adds, at most."""
+        ln = lines[i]
+        s = (0.5 if ln.gap else -0.5 if ln.html or ln.said.sep or ln.said.device else -2.5) + 3.0 * ln.gap
+        d = (0.5 if ln.gap else -1.5) + 4.0 * ln.gap
+        return s, d
+
+    def edge(i: int, j: int, good: float) -> float:
+        """A separator heads a span, it doesn't stand alone."""
+        return good if j - i > 1 and not lines[i + 1].gap else -6.0
+
+    def disclaimer(c: int, b: int) -> float:
+        many = at[b][2] - at[c][2]
+        density = many / max(1, at[b][3] - at[c][3])
+        return (4.0 if lines[starts[c]].said.notice and density > 0.04 else 0.0) + 3.0 * min(3, many) * (1.0 if density > 0.05 else 0.2) - (4.0 if at[b][4] == at[c][4] and many < 2 else 0.0)
+
+    # best segmentations up to a border by their last kind, where that segment began, and the kind before it
+    best: list[list[float]] = [[0.0, 0.0, -1.0, -1.0]]
+    back: list[list[tuple[int, int]]] = [[(0, A)] * 4]
+    running = [(_NEVER, 0, A)] * 4  # authored, quoted by prefix, quoted below an attribution (two ways): score less the sum, start, kind before
+    enter: list[list[tuple[float, int]]] = []  # by border and kind: the best before a segment that begins there
+    far: list[tuple[float, float]] = []  # the most that starts up to here can bring to a signature, a disclaimer
+    openings: list[int] = []
+    begins: list[tuple[float, float]] = []
+    for b in range(1, len(starts)):
+        i, j = starts[b - 1], starts[b]
+        came = []
+        if i:
+            a, q, u, d = best[b - 1]
+            other_a = (Q, q - NEW_SEGMENT) if q >= d else (D, d - NEW_SEGMENT)
+            if u - AFTER_SIGNATURE - NEW_SEGMENT > other_a[1]:
+                other_a = (S, u - AFTER_SIGNATURE - NEW_SEGMENT)
+            top = max(a, q, u, d)
+            other = (D if d == top else S if u == top else Q if q == top else A, top - NEW_SEGMENT)
         for kind in (A, Q, S, D):
-            for i in reversed(starts[:b]):
-                if kind in (S, D) and j - i > 24:
+            if not i:
+                came.append((0.0, A))
+            else:
+                k, v = other_a if kind == A else other
+                same = best[b - 1][kind]
+                came.append((same, kind) if same >= v else (v, k))
+        enter.append(came)
+        first, ln = opens(i), lines[i]
+        here, there = at[b - 1], at[b]
+        tries = [(0, A, 0.0)]
+        if first is None:
+            tries.append((1, Q, 0.5))
+        elif first:
+            openings.append(b - 1)
+        else:
+            tries.append((2 if any_html and not ln.html else 3, Q, 2.0 + 13.0 * ln.said.sep))
+        for way, kind, bonus in tries:
+            v = came[kind][0] + bonus - here[5 + way]
+            if v > running[way][0]:
+                running[way] = (v, b - 1, came[kind][1])
+        s0, d0 = begin(i)
+        begins.append((s0, d0))
+        reach_s = came[S][0] - here[0] + OVER_LENGTH * i + s0 + 3.0 * ln.said.sep
+        reach_d = came[D][0] - here[1] + OVER_LENGTH * i + d0 + 13.0 + 2.0 * ln.said.sep
+        before = far[-1] if far else (_NEVER, _NEVER)
+        far.append((max(before[0], reach_s), max(before[1], reach_d)))
+        now = [_NEVER] * 4
+        whence = [(0, A)] * 4
+        now[A] = running[0][0] + there[5]
+        whence[A] = running[0][1:]
+        for way in (1, 2, 3):
+            v = running[way][0] + there[5 + way]
+            if v > now[Q]:
+                now[Q], whence[Q] = v, running[way][1:]
+        if j == n:
+            for o in openings:  # an open quotation runs to the end, whatever it quotes itself
+                v = enter[o][Q][0] + there[9] - at[o][9] + 3.0
+                if v > now[Q]:
+                    now[Q], whence[Q] = v, (o, enter[o][Q][1])
+        for kind, way, good in ((S, 0, 3.0), (D, 1, 2.0)):
+            c, wall, usual, f = b - 1, there[10 + way], USUAL_LENGTH[kind], there[way]
+            while c >= 0 and starts[c] >= wall:
+                if now[kind] >= far[c][way] + f - OVER_LENGTH * (j - usual):
                     break
-                if i not in top:
-                    continue
-                s = score(kind, i, j)
-                if s is None:
-                    continue
-                prev = max(((best[i, k] - (0.0 if k == kind and i else NEW_SEGMENT if i else 0.0) - (4.0 if kind == A and k in (S,) and i else 0.0), k) for k in (A, Q, S, D) if (i, k) in best), default=None)
-                if prev is None:
-                    continue
-                total = prev[0] + s
-                if total > best.get((j, kind), -1e18):
-                    best[j, kind] = total
-                    back[j, kind] = (i, prev[1])
-        own = [(best[j, k], k) for k in (A, Q, S, D) if (j, k) in best]
-        if own:
-            top[j] = max(own)
+                x = starts[c]
+                v = enter[c][kind][0] + f - at[c][way] - OVER_LENGTH * max(0, j - x - usual) + begins[c][way]
+                if lines[x].said.sep:
+                    v += edge(x, j, good)
+                if kind == D:
+                    v += disclaimer(c, b)
+                if v > now[kind]:
+                    now[kind], whence[kind] = v, (c, enter[c][kind][1])
+                c -= 1
+        best.append(now)
+        back.append(whence)
     out = [A] * n
-    j, kind = n, top[n][1]
-    while j > 0:
-        i, before = back[j, kind]
-        out[i:j] = [kind] * (j - i)
-        j, kind = i, before
+    b = len(starts) - 1
+    kind = max(range(4), key=lambda k: (best[b][k], k))
+    while b > 0:
+        c, before = back[b][kind]
+        out[starts[c] : starts[b]] = [kind] * (starts[b] - starts[c])
+        b, kind = c, before
     return out
 
 
@@ -408,12 +582,12 @@ def segments(mails: DataFrame) -> DataFrame:
     odds = mails.sparkSession.sparkContext.broadcast(_fit(mails))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = _Features()
+        features, reader, odds_ = _Features(), Reader(), odds.value.tolist()
         for pdf in batches:
             rows = []
             for key, body, sender in zip(pdf["id"], pdf["raw_body"], pdf["from_name"]):
-                lines = lines_of(body)
-                rows += [(key, ln.no, KINDS[k], ln.text) for ln, k in zip(lines, decode(lines, odds.value, features, sender or ""))]
+                lines = reader(body)
+                rows += [(key, ln.no, KINDS[k], ln.text) for ln, k in zip(lines, decode(lines, odds_, features, sender or ""))]
             yield pd.DataFrame(rows, columns=["id", "line_no", "kind", "text"])
 
     return spread(mails.select("id", "raw_body", "from_name").filter("raw_body is not null and raw_body <> ''")).mapInPandas(read, "id string, line_no int, kind string, text string")
@@ -429,12 +603,12 @@ def stripped(mails: DataFrame) -> DataFrame:
     odds = mails.sparkSession.sparkContext.broadcast(_fit(mails))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = _Features()
+        features, reader, odds_ = _Features(), Reader(), odds.value.tolist()
         for pdf in batches:
             out = []
             for body, sender in zip(pdf["raw_body"], pdf["from_name"]):
-                lines = lines_of(body or "")
-                drop = {ln.no for ln, k in zip(lines, decode(lines, odds.value, features, sender or "")) if k != A}
+                lines = reader(body or "")
+                drop = {ln.no for ln, k in zip(lines, decode(lines, odds_, features, sender or "")) if k != A}
                 kept = [x.rstrip("\r") for no, x in enumerate((body or "").split("\n"), 1) if no not in drop]
                 out.append(re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip())
             yield pd.DataFrame({"id": pdf["id"], "stripped_body": out})
