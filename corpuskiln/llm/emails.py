@@ -28,6 +28,7 @@ CR LF.  Repeated deliveries are rows of their own.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,7 @@ _WROTE = re.compile(r"\b(?:wrote|schrieb|écrit|escribió|said|writes|escreveu|h
 _DIGIT = re.compile(r"\d")
 _FORWARD_WORDS = ("begin ", "anfang ", "début ", "inicio ", "comienzo ")
 _DEVICE_WORDS = ("sent ", "von ", "mit ", "gesendet ", "enviado ", "envoyé ", "get ", "inviato ", "typed ", "diese ")
+_FOOTER_WORDS = ("you ", "to ", "unsubscribe", "this e", "scanned by", "virus", "sie ", "abmelden", "para ", "pour ", "se ")
 #: Characters beyond which no attribution matches.
 _LONGEST = 420
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
@@ -101,7 +103,7 @@ class Said:
         self.forward = bool(_FORWARD.match(text)) if text[:1] in "-_=~*> \t[" or low.startswith(_FORWARD_WORDS) else False
         self.sep = bool(_SEP.match(text))
         self.device = bool(_DEVICE.match(low)) if low.startswith(_DEVICE_WORDS) else False
-        self.footer = bool(_FOOTER.search(low))
+        self.footer = bool(_FOOTER.search(low)) if low.startswith(_FOOTER_WORDS) or " found" in low else False
         self.greeting = bool(_GREETING.match(low))
         self.closing = bool(_CLOSING.match(low)) if self.words <= 4 else False
         self.contact = bool(_DIGIT.search(text) and _TEL.search(text)) + bool("@" in text and _ADDRESS.search(text)) + bool(("://" in text or "www." in text) and _URL.search(text))
@@ -171,6 +173,17 @@ class Reader:
         return out
 
 
+_readers: dict[str, Reader] = {}
+
+
+def _reader(job: str) -> Reader:
+    """The reader of this process for a job, so that its second pass needn't read again what its first one did."""
+    if job not in _readers:
+        _readers.clear()
+        _readers[job] = Reader()
+    return _readers[job]
+
+
 def _mark_attributions(lines: list[Line]) -> None:
     """An attribution ends with a colon and begins in the same paragraph, with a word that attributions begin with, or else as late as it can."""
     for j, last in enumerate(lines):
@@ -327,11 +340,11 @@ def seed_labels(lines: list[Line]) -> list[int | None]:
     return out
 
 
-def count_words(mails: DataFrame) -> DataFrame:
+def count_words(mails: DataFrame, job: str = "") -> DataFrame:
     """``(label, bucket, n)`` over all bodies; at most three times ``WIDTH`` rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, features, read = np.zeros((4, WIDTH), np.int64), _Features(), Reader()
+        table, features, read = np.zeros((4, WIDTH), np.int64), _Features(), _reader(job) if job else Reader()
         for pdf in batches:
             seen: list[list[int]] = [[], [], [], []]
             for body, sender in zip(pdf["raw_body"], pdf["from_name"]):
@@ -573,16 +586,17 @@ def decode(lines: list[Line], odds: list[list[float]], features: _Features, send
     return out
 
 
-def _fit(mails: DataFrame) -> np.ndarray:
-    return word_odds(count_words(mails).toPandas())
+def _fit(mails: DataFrame, job: str) -> np.ndarray:
+    return word_odds(count_words(mails, job).toPandas())
 
 
 def segments(mails: DataFrame) -> DataFrame:
     """``(id, line_no, kind, text)`` of every line that isn't blank."""
-    odds = mails.sparkSession.sparkContext.broadcast(_fit(mails))
+    job = uuid.uuid4().hex
+    odds = mails.sparkSession.sparkContext.broadcast(_fit(mails, job))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features, reader, odds_ = _Features(), Reader(), odds.value.tolist()
+        features, reader, odds_ = _Features(), _reader(job), odds.value.tolist()
         for pdf in batches:
             rows = []
             for key, body, sender in zip(pdf["id"], pdf["raw_body"], pdf["from_name"]):
@@ -600,10 +614,11 @@ def old_lines(mails: DataFrame) -> DataFrame:
 
 def stripped(mails: DataFrame) -> DataFrame:
     """``(id, stripped_body)``: only what the sender newly wrote; '' where that is nothing."""
-    odds = mails.sparkSession.sparkContext.broadcast(_fit(mails))
+    job = uuid.uuid4().hex
+    odds = mails.sparkSession.sparkContext.broadcast(_fit(mails, job))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features, reader, odds_ = _Features(), Reader(), odds.value.tolist()
+        features, reader, odds_ = _Features(), _reader(job), odds.value.tolist()
         for pdf in batches:
             out = []
             for body, sender in zip(pdf["raw_body"], pdf["from_name"]):
