@@ -5,8 +5,8 @@ date, wall time and zone.  A zone or offset in the text wins; else the zone is
 that of the text's source.  Sources that declare no zone get one by
 estimation (:func:`estimate_zones`): the wall times of the source are aligned
 with instants known from the same source (texts with an offset, ingestion
-times) in sequence order, and the zone whose offset history breaks that order
-least often is taken.
+times) in sequence order, and the zone whose offset history breaks that order,
+or the offsets that other texts of the source state, least often is taken.
 
 Wall times that occur twice mean the first, skipped ones move forward by the
 skipped span; both is what ``try_make_timestamp`` does with a zone.
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuskiln.session import cut_lineage
+
 #: Month names (first three letters, English and German, then the other languages of the texts).
 MONTHS = {
     "jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12,
@@ -79,55 +81,56 @@ def bare_number(text: Column) -> Column:
     return F.coalesce(*readings)
 
 
-def parts(text: Column) -> dict[str, Column]:
-    """Date, time and zone of a text as strings, '' where missing; ``num`` for bare numbers."""
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The ``n`` groups of a pattern that matches the whole text, null where it doesn't; one replacement instead of an extraction each."""
+    return F.when(text.rlike(pattern), F.split(F.regexp_replace(text, pattern, "\u0001".join(f"${i}" for i in range(1, n + 1))), "\u0001"))
+
+
+_CLOCK = r"^(.*?)(?:(?<=\d)t|,? at |,? um |,? |^)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?: ?([ap])\.?m\.?(?![a-z]))?((?:[ (+\-z].*)?)$"
+_DATES = {"iso": (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", 3), "num": (r"^(\d{1,2})([/.\-])(\d{1,2})\2(\d{4}|\d{2})$", 4), "dmy": (r"^(\d{1,2})\.? ?-?([a-zäéû]{3,10})\.?,? ?-?(\d{4}|\d{2})$", 3), "mdy": (r"^([a-zäéû]{3,10})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})$", 3)}
+
+
+def _cleaned(text: Column) -> Column:
     s = F.lower(F.trim(F.regexp_replace(text, _BLANK, " ")))
-    s = F.regexp_replace(s, r"^calculated: ?", "")
-    s = F.regexp_replace(s, r" ?uhr$", "")
+    s = F.regexp_replace(s, r"^calculated: ?| ?uhr$", "")
     s = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})t?(\d{2})(\d{2})(\d{2})(?=[z+\-.,]|$)", "$1-$2-$3t$4:$5:$6")
     s = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    s = F.regexp_replace(s, r"^(mon|tue|wed|thu|fri|sat|sun|mo|di|mi|do|fr|sa|so)[a-zäöü]*\.?,? (?=\S)", "")
-    clock = r"^(.*?)(?:(?<=\d)t|,? at |,? um |,? |^)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?: ?([ap])\.?m\.?(?![a-z]))?((?:[ (+\-z].*)?)$"
-    timed = s.rlike(clock)
-    after = F.when(timed, F.regexp_extract(s, clock, 7)).otherwise("")
-    note = F.regexp_extract(after, r"\(([a-z]+)\)$", 1)
-    after = F.trim(F.regexp_replace(after, r" ?\([^)]*\)$", ""))
-    year_last = F.regexp_extract(after, r"^(?:[a-z]{1,5} )?(\d{4})$", 1)  # Wed Mar 28 11:40:16 [EST] 2012
-    zone = F.when(year_last != "", F.regexp_extract(after, r"^([a-z]{1,5}) \d{4}$", 1)).otherwise(after)
-    date = F.trim(F.when(timed, F.concat_ws(" ", F.regexp_extract(s, clock, 1), F.nullif(year_last, F.lit("")))).otherwise(s))
-    return {
-        "num": s, "date": F.regexp_replace(date, r",$", ""), "timed": timed, "zone": F.when(zone == "", note).otherwise(zone),
-        "h": F.regexp_extract(s, clock, 2), "mi": F.regexp_extract(s, clock, 3), "sec": F.regexp_extract(s, clock, 4), "frac": F.regexp_extract(s, clock, 5), "ap": F.regexp_extract(s, clock, 6),
-    }
+    return F.regexp_replace(s, r"^(mon|tue|wed|thu|fri|sat|sun|mo|di|mi|do|fr|sa|so)[a-zäöü]*\.?,? (?=\S)", "")
 
 
 def read_texts(rows: DataFrame, text: str) -> DataFrame:
     """Adds ``_us`` (bare numbers), ``_y _m _d _h _mi _s`` and ``_zone`` of the text, null where it has none.
 
     An all-number date keeps its first two fields in ``_a`` and ``_b``; the
-    order of the source decides them in :func:`wall_time`.
+    order of the source decides them in :func:`wall_time`.  Each step is a
+    projection of its own, so that no pattern is matched twice.
     """
-    p = parts(F.col(text))
-    df = rows.withColumns({f"_p_{k}": v for k, v in p.items()})
-    d = F.col("_p_date")
-    iso, num = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", r"^(\d{1,2})([/.\-])(\d{1,2})\2(\d{4}|\d{2})$"
-    dmy, mdy = r"^(\d{1,2})\.? ?-?([a-zäéû]{3,10})\.?,? ?-?(\d{4}|\d{2})$", r"^([a-zäéû]{3,10})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})$"
-    g = lambda rx, i: F.nullif(F.regexp_extract(d, rx, i), F.lit(""))
-    year = F.coalesce(g(iso, 1), g(dmy, 3), g(mdy, 3), g(num, 4))
-    name = F.substring(F.coalesce(g(dmy, 2), g(mdy, 1)), 1, 3)
-    hour = F.col("_p_h").try_cast("int")
-    noon = F.col("_p_ap") != ""
-    hour = F.when(~F.col("_p_timed"), 0).when(noon & ~hour.between(1, 12), None).when(F.col("_p_ap") == "a", hour % 12).when(F.col("_p_ap") == "p", hour % 12 + 12).otherwise(hour)
-    sec = F.concat(F.when(F.col("_p_sec") == "", "0").otherwise(F.col("_p_sec")), F.lit("."), F.rpad(F.substring(F.concat(F.col("_p_frac"), F.lit("0")), 1, 6), 6, "0"))
+    df = rows.withColumn("_p_s", _cleaned(F.col(text)))
+    df = df.withColumn("_p_c", _groups(F.col("_p_s"), _CLOCK, 7))
+    c = lambda i: F.coalesce(F.col("_p_c")[i - 1], F.lit(""))
+    timed = F.col("_p_c").isNotNull()
+    df = df.withColumns({"_p_note": F.regexp_extract(c(7), r"\(([a-z]+)\)$", 1), "_p_after": F.trim(F.regexp_replace(c(7), r" ?\([^)]*\)$", ""))})
+    df = df.withColumn("_p_last", _groups(F.col("_p_after"), r"^(?:([a-z]{1,5}) )?(\d{4})$", 2))  # Wed Mar 28 11:40:16 [EST] 2012
+    last = F.col("_p_last")
+    zone = F.when(last.isNotNull(), last[0]).otherwise(F.col("_p_after"))
+    date = F.trim(F.when(timed, F.concat_ws(" ", c(1), last[1])).otherwise(F.col("_p_s")))
+    df = df.withColumns({"_p_date": F.regexp_replace(date, r",$", ""), "_zone": F.nullif(F.when(zone == "", F.col("_p_note")).otherwise(zone), F.lit(""))})
+    df = df.withColumns({f"_p_{k}": _groups(F.col("_p_date"), rx, n) for k, (rx, n) in _DATES.items()})
+    iso, num, dmy, mdy = (F.col(f"_p_{k}") for k in _DATES)
+    year = F.coalesce(iso[0], dmy[2], mdy[2], num[3])
+    name = F.substring(F.coalesce(dmy[1], mdy[0]), 1, 3)
+    hour = c(2).try_cast("int")
+    noon = c(6) != ""
+    hour = F.when(~timed, 0).when(noon & ~hour.between(1, 12), None).when(c(6) == "a", hour % 12).when(c(6) == "p", hour % 12 + 12).otherwise(hour)
+    sec = F.concat(F.when(c(4) == "", "0").otherwise(c(4)), F.lit("."), F.rpad(F.substring(F.concat(c(5), F.lit("0")), 1, 6), 6, "0"))
     return df.withColumns({
-        "_us": bare_number(F.col("_p_num")),
+        "_us": bare_number(F.col("_p_s")),
         "_y": F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year).cast("int"),
-        "_m": F.coalesce(g(iso, 2).cast("int"), _map(MONTHS)[name]),
-        "_d": F.coalesce(g(iso, 3), g(dmy, 1), g(mdy, 2)).cast("int"),
-        "_a": g(num, 1).cast("int"), "_b": g(num, 3).cast("int"),
-        "_h": hour, "_mi": F.when(F.col("_p_timed"), F.col("_p_mi").try_cast("int")).otherwise(0), "_s": F.when(F.col("_p_timed"), sec.try_cast("decimal(16,6)")).otherwise(F.lit(0).cast("decimal(16,6)")),
-        "_zone": F.nullif(F.col("_p_zone"), F.lit("")),
-    }).drop(*[f"_p_{k}" for k in p])
+        "_m": F.coalesce(iso[1].cast("int"), _map(MONTHS)[name]),
+        "_d": F.coalesce(iso[2], dmy[0], mdy[1]).cast("int"),
+        "_a": num[0].cast("int"), "_b": num[2].cast("int"),
+        "_h": hour, "_mi": F.when(timed, c(3).try_cast("int")).otherwise(0), "_s": F.when(timed, sec.try_cast("decimal(16,6)")).otherwise(F.lit(0).cast("decimal(16,6)")),
+    }).drop("_p_s", "_p_c", "_p_note", "_p_after", "_p_last", "_p_date", *[f"_p_{k}" for k in _DATES])
 
 
 def wall_time(zone: Column, order: Column) -> Column:
@@ -147,13 +150,12 @@ def offset_minutes(token: Column, zone: Column) -> Column:
     return F.when(token.rlike(rx), F.when(F.regexp_extract(token, rx, 1) == "-", -n).otherwise(n)).otherwise(F.coalesce(local, _map(ABBREVIATIONS)[token]))
 
 
-def instant(zone: Column, order: Column) -> Column:
-    """Microseconds from 1970 UTC of a row of :func:`read_texts`."""
-    token = F.col("_zone")
-    utc = wall_time(F.lit("UTC"), order)
-    stated = utc - offset_minutes(token, zone).cast("long") * 60_000_000
-    # an offset history gives an unknown token no meaning: then the source's zone counts
-    return F.coalesce("_us", F.when(token.isNotNull() & offset_minutes(token, zone).isNotNull(), stated).otherwise(wall_time(zone, order)))
+def instant(zone: Column, order: Column, offset: Column | None = None) -> Column:
+    """Microseconds from 1970 UTC of a row of :func:`read_texts`; ``offset`` is :func:`offset_minutes` of ``_zone``, if it is at hand."""
+    offset = offset_minutes(F.col("_zone"), zone) if offset is None else offset
+    # a token that no table knows says nothing: then the source's zone counts
+    wall = wall_time(F.when(offset.isNotNull(), "UTC").otherwise(zone), order)
+    return F.coalesce("_us", wall - F.coalesce(offset, F.lit(0)).cast("long") * 60_000_000)
 
 
 def zone_table(zones: DataFrame) -> DataFrame:
@@ -168,17 +170,20 @@ def estimate_zones(texts: DataFrame, candidates: list[str], slack_us: int = 0) -
     orders the source's rows) and ``ingested_us`` (arrival, or null).  Each
     candidate turns every zoneless row into an instant; it is violated where
     that is later than the arrival, or falls outside the nearest instants
-    before and after it in sequence whose zone is stated.  Fewest violations
-    win, then the least mean delay to the arrival, then the name.
+    before and after it in sequence whose zone is stated.  A row that states an
+    offset in numbers is violated by the zones that had another one at its
+    instant.  Fewest violations win, then the least mean delay to the arrival,
+    then the name.
 
     ``seq`` is a number.  It is cut into ``SLICES`` parts of about equal size
     per source; anchors are looked up inside a part, and beyond it in one row
     per part, so no task sorts a whole source.
     """
-    known = F.coalesce("_us", F.when(F.col("_zone").isNotNull(), wall_time(F.lit("UTC"), F.lit("MDY")) - offset_minutes(F.col("_zone"), F.lit("UTC")).cast("long") * 60_000_000))
-    t = texts.withColumn("_seq", F.col("seq").cast("double"))
+    t = texts.withColumns({"_seq": F.col("seq").cast("double"), "_said": offset_minutes(F.col("_zone"), F.lit("UTC"))})
+    t = t.withColumn("_anchor", F.coalesce("_us", wall_time(F.lit("UTC"), F.lit("MDY")) - F.col("_said").cast("long") * 60_000_000))
+    t = cut_lineage(t.select("source", "_seq", "ingested_us", "_anchor", "_said", "_zone", "_y", "_m", "_d", "_a", "_b", "_h", "_mi", "_s"))  # used several times: texts are read once
     cuts = t.groupBy("source").agg(F.percentile_approx("_seq", F.array(*[F.lit(k / SLICES) for k in range(1, SLICES)])).alias("_cuts"))
-    a = t.join(cuts, "source").withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_seq"))), F.lit(0))).drop("_cuts").withColumn("_anchor", known)
+    a = t.join(cuts, "source").withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_seq"))), F.lit(0))).drop("_cuts")
     up, down = Window.partitionBy("source", "_part").orderBy("_seq"), Window.partitionBy("source", "_part").orderBy(F.desc("_seq"))
     sure = F.when(F.col("_anchor").isNotNull() & F.col("_seq").isNotNull(), F.col("_seq"))
     ends = a.groupBy("source", "_part").agg(F.min_by("_anchor", sure).alias("_first"), F.max_by("_anchor", sure).alias("_last"))
@@ -188,16 +193,29 @@ def estimate_zones(texts: DataFrame, candidates: list[str], slack_us: int = 0) -
     a = a.withColumn("_before", F.last("_anchor", ignorenulls=True).over(up.rowsBetween(*rows))).withColumn("_after", F.last("_anchor", ignorenulls=True).over(down.rowsBetween(*rows)))
     a = a.join(ends, ["source", "_part"]).withColumn("_before", F.when(F.col("_seq").isNotNull(), F.coalesce("_before", "_pb"))).withColumn("_after", F.when(F.col("_seq").isNotNull(), F.coalesce("_after", "_pa")))
     loose = a.filter(F.col("_anchor").isNull())
-    each = F.array(*[F.struct(F.lit(z).alias("zone_id"), F.lit(o).alias("date_order"), wall_time(F.lit(z), F.lit(o)).alias("t")) for z in candidates for o in ("MDY", "DMY")])
-    tried = loose.select("source", "ingested_us", "_before", "_after", F.explode(each).alias("c")).select("source", "ingested_us", "_before", "_after", "c.*")
-    tried = tried.filter(F.col("_before").isNotNull() | F.col("_after").isNotNull() | F.col("ingested_us").isNotNull())
+    each = F.explode(F.array(*[F.struct(F.lit(z).alias("zone_id"), F.lit(o).alias("date_order")) for z in candidates for o in ("MDY", "DMY")]))
+    loose = loose.filter(F.col("_before").isNotNull() | F.col("_after").isNotNull() | F.col("ingested_us").isNotNull() | F.col("_a").isNotNull())  # all numbers: an order may be impossible
+    tried = loose.withColumn("c", each).select("*", "c.*").withColumn("t", wall_time(F.col("zone_id"), F.col("date_order")))
     bad = F.coalesce(F.col("t") > F.col("ingested_us") + slack_us, F.lit(False)) | F.coalesce(F.col("t") < F.col("_before") - slack_us, F.lit(False)) | F.coalesce(F.col("t") > F.col("_after") + slack_us, F.lit(False)) | F.col("t").isNull()
-    delay = F.avg(F.abs(F.col("ingested_us") - F.col("t")))
+    tried = tried.select("source", "zone_id", "date_order", bad.alias("_bad"), F.abs(F.col("ingested_us") - F.col("t")).alias("_late"))
+    stated = t.filter(F.col("_zone").rlike(r"^[+\-]\d") & F.col("_anchor").isNotNull() & F.col("_said").isNotNull())
+    own = (F.unix_micros(F.from_utc_timestamp(F.timestamp_micros("_anchor"), F.col("zone_id"))) - F.col("_anchor")) / 60_000_000
+    shown = stated.select("source", "_anchor", "_said", each.alias("c")).select("source", "_anchor", "_said", "c.*").select("source", "zone_id", "date_order", (own != F.col("_said")).alias("_bad"))
+    tried = tried.unionByName(shown.withColumn("_late", F.lit(None).cast("long")))
+    bad, delay = F.col("_bad"), F.avg("_late")
     sums = tried.groupBy("source", "zone_id", "date_order").agg(F.count_if(bad).alias("violations"), F.count(F.lit(1)).alias("n"), delay.alias("_delay"))
     best = F.min_by(F.struct("zone_id", "date_order", "violations", "n"), F.struct("violations", "_delay", "zone_id", "date_order")).alias("b")
     return sums.groupBy("source").agg(best).select("source", "b.*")
 
 
+def candidate_zones(zones: DataFrame) -> list[str]:
+    """The zone names that ``zones`` knows; refused if they are more than there are zones in the world."""
+    got = zones.select("zone_id").filter("zone_id is not null").distinct().limit(MAX_ZONES + 1).collect()
+    if len(got) > MAX_ZONES:
+        raise ValueError(f"more than {MAX_ZONES} zones")
+    return sorted(r["zone_id"] for r in got)
+
+
 def normalise(rows: DataFrame, text: str, source: Column, zones: DataFrame, seq: Column, ingested: Column | None = None) -> DataFrame:
     """Adds ``instant_us``; ``zones`` has ``(source, zone_id, date_order)``.
 
@@ -207,44 +225,84 @@ def normalise(rows: DataFrame, text: str, source: Column, zones: DataFrame, seq:
     named = rows.withColumns({"source": source, "seq": seq, "ingested_us": F.unix_micros(ingested) if ingested is not None else F.lit(None).cast("long")})
     read = read_texts(named, text)
     known = zones.select("source", "zone_id", "date_order")
-    small = zone_table(known)
-    both = known
+    given = known.limit(MAX_ZONES + 1).collect()
+    if len(given) <= MAX_ZONES:  # a declaration: one row a source, broadcast
+        given = {r["source"]: tuple(r) for r in sorted(given, key=lambda r: tuple(x or "" for x in r), reverse=True)}
+        small = known = F.broadcast(rows.sparkSession.createDataFrame(list(given.values()), known.schema))
+    else:
+        small = known = known.groupBy("source").agg(F.min(F.struct("zone_id", "date_order")).alias("z")).select("source", "z.*")
     # a scan of the source column alone says whether anything has to be estimated
     if named.filter(F.col("source").isNotNull()).join(small.select("source"), "source", "left_anti").limit(1).count():
-        candidates = sorted(r["zone_id"] for r in zones.select("zone_id").distinct().limit(MAX_ZONES).collect() if r["zone_id"])
+        candidates = candidate_zones(zones)
         undeclared = read.filter(F.col("source").isNotNull()).join(small.select("source"), "source", "left_anti")
-        both = known.unionByName(estimate_zones(undeclared, candidates).select("source", "zone_id", "date_order")) if candidates else known
+        # the estimates aren't hinted: their number is that of the sources
+        known = known.unionByName(estimate_zones(undeclared, candidates).select("source", "zone_id", "date_order")) if candidates else known
     # a row of a source without any zone still has what its text states
-    return read.join(zone_table(both), "source", "left").withColumn("instant_us", instant(F.col("zone_id"), F.col("date_order")))
+    placed = read.join(known, "source", "left").withColumn("_offset", offset_minutes(F.col("_zone"), F.col("zone_id")))
+    return placed.withColumn("instant_us", instant(F.col("zone_id"), F.col("date_order"), F.col("_offset"))).drop("_offset")
 
 
 def first_directory(path: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(path, r"^/*([^/]+)/", 1)), F.lit(""))
 
 
-def declared(source_zones: DataFrame, tbl: str) -> DataFrame:
-    """``(source, zone_id, date_order)`` that ``source_zones`` declares for a table."""
+def declared(source_zones: DataFrame) -> DataFrame:
+    """``(source, zone_id, date_order)`` that ``source_zones`` declares, ``source`` being table and key."""
     from corpuskiln.operators.delivery import folder_key
 
-    return source_zones.filter(F.col("tbl") == tbl).select(folder_key(F.col("source_key")).alias("source"), "zone_id", "date_order").dropDuplicates(["source"])
+    return source_zones.select(F.concat_ws(":", "tbl", folder_key(F.col("source_key"))).alias("source"), "zone_id", "date_order").filter("source is not null")
+
+
+def dated_rows(messages: DataFrame | None = None, threads: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
+    """``(tbl, row_id, source, seq, arrived, date_text)`` of the tables with date texts.
+
+    Headers come in the order of their uid, threads in that of their arrival;
+    notes have neither, for them only the offsets that texts state can speak.
+    """
+    from corpuskiln.operators.delivery import folder_key
+
+    out = None
+    never = F.lit(None).cast("timestamp")
+    for tbl, df, text, key, seq, arrived in (
+        ("messages", messages, "date_str", lambda: folder_key(F.col("folder")), "uid", never),
+        ("imessage_threads", threads, "date_start", lambda: first_directory(F.col("source_file")), F.unix_micros("created_at") if threads is not None else None, F.col("created_at")),
+        ("parsed_notes", notes, "created_at", lambda: first_directory(F.col("source_file")), F.lit(None), never),
+    ):
+        if df is None:
+            continue
+        seq = F.col(seq) if isinstance(seq, str) else seq
+        one = df.select(F.lit(tbl).alias("tbl"), F.col("id").cast("string").alias("row_id"), F.when(key().isNotNull(), F.concat(F.lit(tbl + ":"), key())).alias("source"), seq.cast("long").alias("seq"), arrived.alias("arrived"), F.col(text).alias("date_text"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def instants_of(rows: DataFrame, source_zones: DataFrame) -> DataFrame:
+    """``(tbl, row_id, instant_us)`` of :func:`dated_rows`, each id once."""
+    got = normalise(rows, "date_text", F.col("source"), declared(source_zones), F.col("seq"), F.col("arrived"))
+    # filtered when it is computed: a filter below would compute it twice
+    return got.groupBy("tbl", "row_id").agg(F.min("instant_us").alias("instant_us")).filter(F.col("instant_us").isNotNull())
 
 
 def note_instants(notes: DataFrame, source_zones: DataFrame) -> DataFrame:
     """``(id, instant_us)`` of the notes whose creation text names an instant, each id once."""
-    got = normalise(notes, "created_at", first_directory(F.col("source_file")), declared(source_zones, "parsed_notes"), F.lit(None).cast("long"))
-    return got.filter(F.col("instant_us").isNotNull()).groupBy("id").agg(F.min("instant_us").alias("instant_us"))
+    return instants_of(dated_rows(notes=notes), source_zones).select(F.col("row_id").alias("id"), "instant_us")
 
 
 def found_instants(messages: DataFrame, threads: DataFrame, notes: DataFrame, source_zones: DataFrame) -> DataFrame:
     """``(tbl, row_id, instant_us)`` of the three tables with date texts."""
-    from corpuskiln.operators.delivery import folder_key
+    return instants_of(dated_rows(messages, threads, notes), source_zones)
 
-    out = []
-    for tbl, df, text, source, seq, ingested in (
-        ("messages", messages, "date_str", folder_key(F.col("folder")), F.col("uid"), None),
-        ("imessage_threads", threads, "date_start", first_directory(F.col("source_file")), F.unix_micros("created_at"), F.col("created_at")),
-    ):
-        got = normalise(df, text, source, declared(source_zones, tbl), seq, ingested)
-        out.append(got.filter(F.col("instant_us").isNotNull()).select(F.lit(tbl).alias("tbl"), F.col("id").cast("string").alias("row_id"), "instant_us"))
-    of_notes = note_instants(notes, source_zones).select(F.lit("parsed_notes").alias("tbl"), F.col("id").cast("string").alias("row_id"), "instant_us")
-    return out[0].unionByName(out[1]).unionByName(of_notes)
+
+def zone_estimates(rows: DataFrame, source_zones: DataFrame) -> DataFrame:
+    """What estimation says of every source without looking at its declaration, and how many instants come out as declared.
+
+    ``(source, declared_zone, declared_order, zone_id, date_order, violations, n, dated, agree)``.
+    """
+    read = cut_lineage(read_texts(rows.withColumn("ingested_us", F.unix_micros("arrived")), "date_text").filter("source is not null"))
+    guess = estimate_zones(read, candidate_zones(source_zones))
+    known = declared(source_zones).groupBy("source").agg(F.min(F.struct("zone_id", "date_order")).alias("z")).select("source", F.col("z.zone_id").alias("declared_zone"), F.col("z.date_order").alias("declared_order"))
+    both = read.join(guess.join(known, "source", "left"), "source")
+    said, guessed = instant(F.col("declared_zone"), F.col("declared_order")), instant(F.col("zone_id"), F.col("date_order"))
+    keys = ["source", "declared_zone", "declared_order", "zone_id", "date_order", "violations", "n"]
+    each = both.select(*keys, said.alias("_said"), guessed.alias("_guessed"))
+    return each.groupBy(*keys).agg(F.count("_said").alias("dated"), F.count_if(F.col("_said") == F.col("_guessed")).alias("agree"))

@@ -28,6 +28,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Every source as if its zone were not declared: what estimation finds, and how many instants come out as declared."""
+    rows = instants.dated_rows(
+        table(spark, d, "messages", "id", "uid", "folder", "date_str"),
+        table(spark, d, "imessage_threads", "id", "source_file", "date_start", "created_at"),
+        table(spark, d, "parsed_notes", "id", "source_file", "created_at"),
+    )
+    return instants.zone_estimates(rows, table(spark, d, "source_zones"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return delivery.found_pairs(table(spark, d, "messages", "id", "folder", "uid", "batch_no"), table(spark, d, "email_messages", "id", "message_id", "batch_no"))
 
@@ -61,7 +71,7 @@ def p6_later_batches(spark: SparkSession, d: str) -> DataFrame:
     return delivery.by_batch(m.filter("batch_no >= 16"), delivery.in_blocks(ledger))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_user_sessions, p3_found, p6_found, p6_seen_ranges, p6_unique_headers, p6_members, p6_batches, p6_later_batches)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_user_sessions, p3_found, p3_estimates, p6_found, p6_seen_ranges, p6_unique_headers, p6_members, p6_batches, p6_later_batches)}
 
 _FOLDER = r"nullif(regexp_replace(lower(trim(folder)), '[\s/]+$', ''), '')"
 _KEY = r"nullif(regexp_replace(regexp_replace(lower(message_id), '\s+', '', 'g'), '^[<\[(]+|[>\])]+$', '', 'g'), '')"

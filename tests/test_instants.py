@@ -56,3 +56,25 @@ def test_missing_zone_is_estimated(spark):
     done = I.normalise(df.drop("ingested_us"), "t", F.col("source"), zones, F.col("seq"))
     us = [r.instant_us for r in done.orderBy("seq").collect()]
     assert us == [1420070400000000 + k * 3 * 3600 * 10**6 for k in range(300)]
+
+
+def test_offsets_and_impossible_orders_speak(spark):
+    # without any sequence: stated offsets name the zone, a day above 12 the order
+    z = ZoneInfo("Europe/Berlin")
+    rows = []
+    for k in range(120):
+        u = (datetime(2015, 1, 1, tzinfo=timezone.utc) + timedelta(days=9 * k, hours=k)).astimezone(z)
+        rows.append((str(k), f"/box/{k}", u.isoformat() if k % 2 else u.strftime("%d.%m.%Y %H:%M"), int(u.timestamp()) * 10**6 if k % 2 else int(u.replace(second=0, fold=0).timestamp()) * 10**6))
+    notes = spark.createDataFrame([r[:3] for r in rows], "id string, source_file string, created_at string")
+    zones = spark.createDataFrame([("parsed_notes", "a", "Europe/Berlin", "DMY"), ("parsed_notes", "b", "America/New_York", "MDY"), ("messages", "c", "Asia/Tokyo", "MDY"), ("messages", "c", "UTC", "MDY"), ("messages", None, "UTC", None)], "tbl string, source_key string, zone_id string, date_order string")
+    got = {r.id: r.instant_us for r in I.note_instants(notes, zones).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+    e = I.zone_estimates(I.dated_rows(notes=notes), zones).first()
+    assert (e.source, e.zone_id, e.date_order, e.declared_zone, e.violations) == ("parsed_notes:box", "Europe/Berlin", "DMY", None, 0)
+
+
+def test_no_rows_and_no_zones(spark):
+    notes = spark.createDataFrame([("1", "/box/1", "2020-01-01"), ("2", None, "2020-01-01T00:00:00Z"), ("3", "/box/3", None)], "id string, source_file string, created_at string")
+    none = spark.createDataFrame([], "tbl string, source_key string, zone_id string, date_order string")
+    assert [(r.id, r.instant_us) for r in I.note_instants(notes, none).collect()] == [("2", 1577836800000000)]
+    assert I.note_instants(notes.limit(0), none).count() == 0
