@@ -17,19 +17,29 @@ protected entity:
   one name only ("rose beds") reveals nobody;
 * a street in lower case counts if the corpus also writes it with a capital.
 
-Shape at scale: one Python pass over the texts emits the few candidates, which
-are checkpointed; texts are never shuffled.  Context counts are hashed into
-``BUCKETS`` buckets, so what reaches the driver is bounded by construction.
-Family names are counted by a shuffle.  Given names come from the contacts
-table, whose size is checked.
-
-Nulls: rows without id or text give nothing.  Repeated ids count once.
+Given names are those of the contacts and what the corpus adds to them: a
+capitalised word that stands before at least ``MIN_FAMILIES`` families (words
+that follow several known given names), mostly before families, and hardly
+before given names (as titles do).  A name of which neither part occurs with
+another known one anywhere reveals itself to no count and isn't found.
+
+Shape at scale: one JVM pass counts pairs of capitalised words, one Python pass
+over the texts emits the few candidates, which are checkpointed.  To find
+items no text is shuffled; :func:`sanitise` shuffles each text once, to keep
+one copy of an id.  Context counts are hashed into ``BUCKETS`` buckets, so what
+reaches the driver is bounded by construction; given names are refused beyond
+``MAX_GIVEN_NAMES``.
+
+Nulls: rows without id or text give nothing.  Repeated ids count once; where
+copies of an id differ, all their items are listed, and the sanitised text is
+that of one copy with its own items.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,6 +53,10 @@ THRESHOLD = 0.0
 MIN_ENTROPY = 0.9
 MIN_ALIKE = 3
 MAX_GIVEN_NAMES = 20_000
+MIN_FAMILIES = 3
+
+#: Titles, which stand before families too.
+TITLES = ["mr", "mrs", "ms", "miss", "dr", "prof", "sir", "herr", "frau", "señor", "señora", "don", "doña", "monsieur", "madame", "mme"]
 
 _LEFT, _RIGHT = r"(?<![\w.\-/+#@])", r"(?![\d@])(?![.\-/,:]\d)"
 
@@ -96,7 +110,7 @@ _ADDRESS = re.compile(
 SAME_LENGTH = {0xA0: " ", 0x2007: " ", 0x2009: " ", 0x202F: " ", 0x2010: "-", 0x2011: "-", 0x2012: "-", 0xFF20: "@"}
 
 _WORD = re.compile(r"[^\W\d_]+")
-SCHEMA = "tbl string, row_id string, kind string, start_pos int, length int, proven boolean, contexts array<int>, given string, family string"
+SCHEMA = "tbl string, row_id string, h long, kind string, start_pos int, length int, proven boolean, contexts array<int>, given string, family string"
 
 
 def _bucket(word: str) -> int:
@@ -124,12 +138,13 @@ def spans(text: str, names: re.Pattern) -> Iterator[tuple]:
     """Candidates of one text: ``(kind, start, end, proven, contexts, given, family)``."""
     text = text.translate(SAME_LENGTH)
     digits = any(c.isdigit() for c in text)
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # sorted, none overlaps another
 
     def free(a: int, b: int) -> bool:
-        if any(a < y and x < b for x, y in taken):
+        i = bisect_left(taken, (a, b))
+        if (i and taken[i - 1][1] > a) or (i < len(taken) and taken[i][0] < b):
             return False
-        taken.append((a, b))
+        taken.insert(i, (a, b))
         return True
 
     if "@" in text:
@@ -169,12 +184,12 @@ def candidates(texts: DataFrame, given: list[str]) -> DataFrame:
         names = name_pattern(given)
         for pdf in batches:
             out = []
-            for tbl, row, text in zip(pdf["tbl"], pdf["row_id"], pdf["text"]):
+            for tbl, row, h, text in zip(pdf["tbl"], pdf["row_id"], pdf["h"], pdf["text"]):
                 for kind, a, b, proven, contexts, g, f in spans(text, names):
-                    out.append((tbl, row, kind, a, b - a, proven, contexts, g, f))
-            yield pd.DataFrame(out, columns=["tbl", "row_id", "kind", "start_pos", "length", "proven", "contexts", "given", "family"])
+                    out.append((tbl, row, h, kind, a, b - a, proven, contexts, g, f))
+            yield pd.DataFrame(out, columns=["tbl", "row_id", "h", "kind", "start_pos", "length", "proven", "contexts", "given", "family"])
 
-    return texts.filter("row_id is not null and text is not null and text <> ''").mapInPandas(find, SCHEMA)
+    return texts.filter("row_id is not null and text is not null and text <> ''").select("tbl", "row_id", F.xxhash64("text").alias("h"), "text").mapInPandas(find, SCHEMA)
 
 
 def given_names(contacts: DataFrame) -> list[str]:
@@ -185,6 +200,28 @@ def given_names(contacts: DataFrame) -> list[str]:
     return sorted({r["g"].title() for r in names})
 
 
+_PAIR = r"(?<![\p{L}\p{N}])(?=(\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}{2,}))"
+
+
+def learned_names(texts: DataFrame, given: list[str]) -> list[str]:
+    """Given names that the corpus adds: words that stand before families as the known given names do."""
+    if not given:
+        return []
+    known = [g.lower() for g in given]
+    pair = F.explode(F.regexp_extract_all("text", F.lit(_PAIR), F.lit(1))).alias("p")
+    n = texts.filter("text is not null").select(pair).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    n = n.select(F.lower(F.substring_index("p", " ", 1)).alias("x"), F.lower(F.substring_index("p", " ", -1)).alias("y"), "n").groupBy("x", "y").agg(F.sum("n").alias("n"))
+    is_given = lambda c: F.col(c).isin(known)
+    before = n.filter(is_given("x") & ~is_given("y")).groupBy("y").agg(F.count(F.lit(1)).alias("givens")).filter("givens >= 2").select("y", F.lit(True).alias("family"))
+    new = n.filter(~is_given("x") & ~F.col("x").isin(TITLES)).join(before, "y", "left")
+    per = new.groupBy("x").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("family"), F.col("n"))).alias("f"), F.count("family").alias("families"), F.sum(F.when(is_given("y"), F.col("n"))).alias("g"))
+    per = per.filter((F.col("families") >= MIN_FAMILIES) & (F.col("f") * 2 >= F.col("n")) & (F.coalesce("g", F.lit(0)) * 10 <= F.col("n")))
+    got = per.join(before.select(F.col("y").alias("x")), "x", "left_anti").select("x").limit(MAX_GIVEN_NAMES + 1).collect()  # a family isn't a given name
+    if len(got) > MAX_GIVEN_NAMES:
+        raise ValueError(f"more than {MAX_GIVEN_NAMES} given names: give a list instead")
+    return sorted(r["x"].title() for r in got)
+
+
 def disclosure(found: DataFrame) -> dict[int, float]:
     """Log-odds of each context bucket beside proven against unproven numbers; at most ``BUCKETS`` entries.
 
@@ -215,16 +252,17 @@ def street_names(found: DataFrame) -> DataFrame:
 
 
 def personal_spans(texts: DataFrame, contacts: DataFrame) -> DataFrame:
-    """``(tbl, row_id, kind, start_pos, length)`` of all personal information in ``(tbl, row_id, text)``."""
-    found = cut_lineage(candidates(texts, given_names(contacts)))
+    """``(tbl, row_id, h, kind, start_pos, length)`` of all personal information in ``(tbl, row_id, text)``; ``h`` is the text's hash."""
+    given = given_names(contacts)
+    found = cut_lineage(candidates(texts, given + learned_names(texts, given)))
     weight = disclosure(found)
     rows = found.sparkSession.createDataFrame([(k, float(v)) for k, v in weight.items()], "c int, w double")
-    open_numbers = found.filter("kind = 'phone' and not proven").select("tbl", "row_id", "kind", "start_pos", "length", F.explode("contexts").alias("c"))
-    scored = open_numbers.join(F.broadcast(rows), "c", "left").groupBy("tbl", "row_id", "kind", "start_pos", "length").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("w"))
+    open_numbers = found.filter("kind = 'phone' and not proven").select("tbl", "row_id", "h", "kind", "start_pos", "length", F.explode("contexts").alias("c"))
+    scored = open_numbers.join(F.broadcast(rows), "c", "left").groupBy("tbl", "row_id", "h", "kind", "start_pos", "length").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("w"))
     revealed = scored.filter(F.col("w") > THRESHOLD).drop("w")
     plain_names = found.filter("kind = 'name' and not proven").join(family_names(found, contacts), "family", "left_semi")
     plain_streets = found.filter("kind = 'address' and not proven").join(street_names(found), "family", "left_semi")
-    keep = ["tbl", "row_id", "kind", "start_pos", "length"]
+    keep = ["tbl", "row_id", "h", "kind", "start_pos", "length"]
     return found.filter("proven").select(*keep).unionByName(revealed.select(*keep)).unionByName(plain_names.select(*keep)).unionByName(plain_streets.select(*keep)).distinct()
 
 
@@ -246,9 +284,10 @@ def sanitise(texts: DataFrame, contacts: DataFrame) -> DataFrame:
 
     The items of a text are gathered, which its length bounds.
     """
-    items = personal_spans(texts, contacts).groupBy("tbl", "row_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "length", "kind"))).alias("items"))
-    once = texts.filter("row_id is not null").dropDuplicates(["tbl", "row_id"])
-    out = once.join(items, ["tbl", "row_id"], "left")
+    items = personal_spans(texts, contacts).groupBy("tbl", "row_id", "h").agg(F.sort_array(F.collect_list(F.struct("start_pos", "length", "kind"))).alias("items"))
+    copy = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")
+    once = texts.filter("row_id is not null").groupBy("tbl", "row_id").agg(copy).select("tbl", "row_id", "x.h", "x.text")
+    out = once.join(items, ["tbl", "row_id", "h"], "left")
     return out.select("tbl", "row_id", F.when(F.col("items").isNull(), F.col("text")).otherwise(_placeholders(F.col("text"), F.col("items"))).alias("text"), F.coalesce(F.size("items"), F.lit(0)).alias("n_items"))
 
 

@@ -52,3 +52,24 @@ def test_empty(frames):
     texts, contacts = frames
     assert P.personal_spans(texts.limit(0), contacts).count() == 0
     assert P.personal_spans(texts.limit(3), contacts.limit(0)).count() >= 1
+
+
+def test_unlisted_given_names_are_learned(spark):
+    families = ["Quackenbush", "Ravenhall", "Tetherby", "Oxenfold", "Wainscot", "Pellow"]
+    known, unlisted = ["Ann", "Bo", "Cleo"], ["Zebulon", "Priyanka", "Torvald", "Ysolde"]
+    rows = [f"Later {g} {f} came by with the keys" for g in known for f in families]
+    rows += [f"I saw {g} {f} on the quay" for g in unlisted for f in families[:4]]
+    rows += [f"Herr {f} and Mr {g} were late" for f in families for g in known] + [f"North {x} is far" for x in ("Harbour", "Quay", "Pellow")]
+    texts = spark.createDataFrame([("t", str(i), x) for i, x in enumerate(rows)], "tbl string, row_id string, text string")
+    contacts = spark.createDataFrame([(f"{g} Smith", None) for g in known], "display_name string, chat_name string")
+    assert P.learned_names(texts, known) == sorted(unlisted)
+    got = {(int(r.row_id), r.start_pos) for r in P.personal_spans(texts, contacts).filter("kind = 'name'").collect()}
+    want = {(i, x.index(g)) for i, x in enumerate(rows) for g in known + unlisted if any(f"{g} {f}" in x for f in families)}
+    assert got == want
+
+
+def test_copies_that_differ(spark):
+    texts = spark.createDataFrame([("t", "1", "ring +44 7700 900123 now"), ("t", "1", "do write to ann@mill.example, or ring +44 7700 900123"), ("t", "1", "ring +44 7700 900123 now")], "tbl string, row_id string, text string")
+    contacts = spark.createDataFrame([("Ann Millbrook", "Ann")], "display_name string, chat_name string")
+    got = P.sanitise(texts, contacts).collect()
+    assert [(r.text, r.n_items) for r in got] in ([("ring [PHONE] now", 1)], [("do write to [EMAIL], or ring [PHONE]", 2)])
