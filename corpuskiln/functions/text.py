@@ -83,13 +83,45 @@ def text_lines(text: Column) -> Column:
     return F.when(F.trim(t) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(t, "\n"), lambda ln: F.regexp_replace(ln, "\r$", "")))
 
 
-def strip_quoted(body: Column) -> Column:
-    """The simple rule: everything before the first quote start, without lines marked by '>'."""
+#: Lines that phones and scanners add below a mail, and a separator at the very top with all below it.
+SIGNATURES = [r"(?m)^Sent (?:from my (?:iPhone|iPad|Tricorder|BlackBerry)|via BlackBerry).*$", r"(?m)^Get Outlook for (?:iOS|Android).*$", r"(?s)\A-- \n.*", r"(?m)No virus found in this (?:incoming|outgoing) message\..*$", r"(?m)^Checked by AVG.*$", r"(?m)^M: \d{3}\.\d{3}\.\d{4}\s*$"]
+
+
+def strip_signatures(body: Column) -> Column:
+    """A body without the lines that devices and scanners add; quoted mails stay."""
+    t = F.coalesce(body, F.lit(""))
+    for rx in SIGNATURES:
+        t = F.regexp_replace(t, rx, "")
+    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")
+
+
+def new_lines(body: Column) -> Column:
+    """``(total_lines, quoted_lines, new_lines, new_chars, total_chars)`` of a body.
+
+    Nothing counts from a forwarded mail on; below an attribution only marked
+    lines count, as quoted; device lines are neither.
+    """
+    lines = F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
+    stop = F.array_position(F.transform(lines, lambda x: x.rlike(r"(?i)-{5,}\s*Forwarded message\s*-{5,}") & ~F.trim(x).startswith(">")), True).cast("int")
+    own = F.when(stop > 0, F.slice(lines, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(lines)
+    begun = lambda x: x.rlike(r"^On .+ wrote:\s*$")
+    marked = lambda x: F.ltrim(x).startswith(">")
+    quote = F.array_position(F.transform(own, begun), True).cast("int")
+    mine = F.filter(F.when(quote > 0, F.slice(own, 1, F.greatest(quote - 1, F.lit(0)))).otherwise(own), lambda x: ~marked(x) & ~x.rlike(SIGNATURES[0]))
+    quoted = F.size(F.filter(own, lambda x: marked(x) & ~begun(x)))
+    chars = F.aggregate(mine, F.lit(0), lambda a, x: a + F.length(x))
+    return F.struct(F.size(lines).alias("total_lines"), quoted.alias("quoted_lines"), F.size(mine).alias("new_lines"), chars.alias("new_chars"), F.length(F.coalesce(body, F.lit(""))).alias("total_chars"))
+
+
+def strip_quoted(body: Column, signatures: bool = False) -> Column:
+    """The simple rule: everything before the first quote start, without lines marked by '>', and on request without signatures."""
     ls = text_lines(body)
     flags = F.transform(ls, lambda ln: ln.rlike(QUOTE_START))
     stop = F.array_position(flags, True)
     kept = F.when(stop > 0, F.slice(ls, 1, F.greatest(stop.cast("int") - 1, F.lit(0)))).otherwise(ls)
     t = F.array_join(F.filter(kept, lambda ln: ~ln.rlike(r"^\s*>")), "\n")
+    if signatures:
+        return strip_signatures(t)
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 

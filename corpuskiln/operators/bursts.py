@@ -11,7 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskiln.functions import ids, text as tx
+from corpuskiln.operators.ordering import DAY_US
 from corpuskiln.operators.sessions import GAP_US, is_notification, sessions, visible
+from corpuskiln.operators.store import once
+
+
+MAX_OWN = 1000
 
 
 def burst_bounds(messages: DataFrame, gap_us: int = GAP_US) -> DataFrame:
@@ -45,7 +50,8 @@ def chat_bursts(messages: DataFrame, owner: str, gap_us: int = GAP_US) -> DataFr
     Messages find their burst by a range join inside their thread and the days
     that the burst touches: no message meets another.
     """
-    m = messages.filter(F.col("thread_id").isNotNull() & F.col("timestamp").isNotNull() & ~is_notification(F.col("message_type"))).dropDuplicates(["id"])
+    m = messages.filter(F.col("thread_id").isNotNull() & F.col("timestamp").isNotNull() & ~is_notification(F.col("message_type")))
+    m = once(m, "id", F.col("created_at"))
     m = m.withColumn("t", F.unix_micros("timestamp")).withColumn("sender", sender_of(F.col("sender_name"), F.col("message_type"), owner))
     day = 86_400_000_000
     b = burst_bounds(m, gap_us).withColumn("_day", F.explode(F.sequence(F.expr(f"start_us div {day}"), F.expr(f"end_us div {day}"))))
@@ -87,6 +93,14 @@ def thread_root(references: Column, in_reply_to: Column, message_id: Column) ->
     return F.coalesce(first(references), first(in_reply_to), F.trim(message_id))
 
 
+def owner_addresses(contacts: DataFrame) -> list[str]:
+    """The addresses of the contacts that are the owner; refused if they are more than a person has."""
+    a = contacts.filter("is_self").select(F.explode("email_addresses").alias("a")).select(F.lower(F.trim("a")).alias("addr")).filter("addr <> ''").distinct().limit(MAX_OWN + 1).collect()
+    if len(a) > MAX_OWN:
+        raise ValueError(f"more than {MAX_OWN} addresses of the owner")
+    return sorted(r["addr"] for r in a)
+
+
 def direction(from_addr: Column, owner_addresses: list[str]) -> Column:
     """sent where an address of the owner stands in the sender, else received."""
     low = F.lower(F.coalesce(from_addr, F.lit("")))
@@ -99,13 +113,18 @@ def direction(from_addr: Column, owner_addresses: list[str]) -> Column:
 def mail_bursts(mails: DataFrame, gap_hours: float = 4.0) -> DataFrame:
     """Adds ``burst_index`` to mails of each thread root.
 
-    Undated mails come first; no cut where either date is missing.  A thread
-    of mails is sorted in one task: it is bounded by what people answer.
+    Undated mails come first: they belong to burst 0; mails without a root
+    belong to no burst (null).  The cuts are those of :func:`sessions`, so no
+    task sorts a thread; mails find their burst by the days that it touches.
     """
-    w = Window.partitionBy("thread_root").orderBy(F.asc_nulls_first("date"), "id")
-    gap = (F.unix_micros("date") - F.unix_micros(F.lag("date").over(w))) > int(gap_hours * 3_600_000_000)
-    cut = F.coalesce(gap, F.lit(False)).cast("int")
-    return mails.withColumn("_cut", cut).withColumn("burst_index", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    at = F.unix_micros("date")
+    timed = F.col("date").isNotNull() & F.col("thread_root").isNotNull()
+    s = sessions(mails.filter(timed).select("thread_root", "date"), "thread_root", at, int(gap_hours * 3_600_000_000))
+    s = s.select("thread_root", "start_us", "end_us", (F.row_number().over(Window.partitionBy("thread_root").orderBy("start_us")) - 1).cast("long").alias("burst_index"))
+    days = s.withColumn("_day", F.explode(F.sequence(F.expr(f"start_us div {DAY_US}"), F.expr(f"end_us div {DAY_US}"))))
+    placed = mails.filter(timed).withColumn("_t", at).withColumn("_day", F.expr(f"_t div {DAY_US}")).join(days, ["thread_root", "_day"]).filter(F.col("_t").between(F.col("start_us"), F.col("end_us")))
+    rest = mails.filter(~timed).withColumn("burst_index", F.when(F.col("thread_root").isNotNull(), F.lit(0).cast("long")))
+    return placed.select(*mails.columns, "burst_index").unionByName(rest)
 
 
 def mail_burst_summary(mails: DataFrame, gap_hours: float = 4.0) -> DataFrame:
@@ -134,6 +153,33 @@ def burst_body(mails: DataFrame) -> DataFrame:
     return g.select("thread_root", "burst_index", F.when(F.size(earlier) > 0, F.concat(F.array_join(shown, "\n\n"), F.lit("\n\n---\n\n"), last)).otherwise(last).alias("body"))
 
 
+def with_identities(mails: DataFrame, identities: DataFrame) -> DataFrame:
+    """``all_participants`` with every address replaced by whom ``(address, person)`` says it belongs to; others stay as they are.
+
+    The map is a table of any size: participants are joined to it one by one.
+    """
+    one = mails.select("id", F.explode_outer("all_participants").alias("a")).select("id", F.lower(F.trim("a")).alias("address"))
+    known = identities.select(F.lower(F.trim("address")).alias("address"), "person").groupBy("address").agg(F.min("person").alias("person"))
+    people = one.join(known, "address", "left").groupBy("id").agg(F.array_sort(F.collect_set(F.coalesce("person", "address"))).alias("all_participants"))
+    return mails.drop("all_participants").join(people, "id")
+
+
+def mirror_to_chunks(bursts: DataFrame) -> DataFrame:
+    """Bursts as rows of the chunk table, so that both are searched together; the embedding is filled in later."""
+    return bursts.select(
+        ids.short_id(F.concat(F.lit("burst:"), F.col("id"))).alias("id"), F.lit(None).cast("string").alias("note_id"), F.col("burst_index").alias("chunk_index"), F.col("text_combined").alias("chunk_text"), F.lit(None).cast("array<float>").alias("embedding"),
+        F.lit(0).alias("char_start"), F.coalesce(F.length("text_combined"), F.lit(0)).alias("char_end"), F.col("thread_name").alias("section_title"), F.col("date_start").alias("entry_timestamp"), F.col("resource_links").alias("resource_ids"),
+        F.lit("imessage").alias("source_type"), F.col("id").alias("source_id"), "privacy_tier",
+    )
+
+
+def mirror_bursts(chunks: DataFrame, bursts: DataFrame) -> DataFrame:
+    """``chunks`` with the mirrors of ``bursts``, in place of the ones they had."""
+    new = mirror_to_chunks(bursts)
+    kept = chunks.join(new.select("source_id").distinct(), "source_id", "left_anti")
+    return kept.select(*chunks.columns).unionByName(new.select(*chunks.columns))
+
+
 def conversations_by_people(mails: DataFrame) -> DataFrame:
     """``(participant_hash, participants, n_messages, first_at, last_at)``: mails by their exact set of people."""
     p = ids.participant_set(F.col("all_participants"))

@@ -59,6 +59,25 @@ def kill_report(items: DataFrame, group: str) -> DataFrame:
     return items.groupBy(group).agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("decision") == "KEEP").alias("kept"), F.round(1 - F.count_if(F.col("decision") == "KEEP") / F.count(F.lit(1)), 2).alias("kill_rate"))
 
 
+def connection_density(items: DataFrame, connections: DataFrame, key: str) -> DataFrame:
+    """Items with ``connection_density``, the number of their connections; 0 where they have none."""
+    n = connections.groupBy(key).agg(F.count(F.lit(1)).alias("connection_density"))
+    return items.join(n, key, "left").withColumn("connection_density", F.coalesce("connection_density", F.lit(0)))
+
+
+def well_formed(items: DataFrame, *fields: str) -> tuple[DataFrame, DataFrame]:
+    """The items of which all fields say something, and the others, which are skipped rather than published half."""
+    whole = F.lit(True)
+    for f in fields:
+        whole = whole & (F.coalesce(F.trim(f), F.lit("")) != "")
+    return items.filter(whole), items.filter(~whole)
+
+
+def kept_by(items: DataFrame, group: str) -> DataFrame:
+    """Per group: how many items survive."""
+    return items.filter("decision = 'KEEP'").groupBy(group).agg(F.count(F.lit(1)).alias("kept"))
+
+
 def annotate(connections: DataFrame, notes: DataFrame) -> DataFrame:
     """Connections with their notes, by item and place; keep=false drops one, a missing note keeps it, books always stay.
 

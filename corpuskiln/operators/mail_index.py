@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuskiln.functions import text as tx
 from corpuskiln.operators.delivery import folder_key
+from corpuskiln.operators.ordering import with_previous
 
 #: Small invented defaults; pass your own.
 COMMERCIAL_PREFIXES = ["noreply", "no-reply", "newsletter", "offers", "info", "support", "alerts", "marketing"]
@@ -70,11 +71,9 @@ def pending(headers: DataFrame) -> DataFrame:
 
 def reply_gaps(mails: DataFrame) -> DataFrame:
     """``(thread_root, id, gap_hours)`` between neighbouring dated mails of a thread, none negative."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("thread_root").orderBy("date", "id")
-    g = (F.unix_micros("date") - F.unix_micros(F.lag("date").over(w))) / 3.6e9
-    return mails.filter("date is not null and thread_root is not null").select("thread_root", "id", g.alias("gap_hours")).filter("gap_hours >= 0")
+    m = mails.filter("date is not null and thread_root is not null").select("thread_root", "id", F.unix_micros("date").alias("_us"))
+    m = with_previous(m, "thread_root", "_us", F.col("_us"), "_before", "id")
+    return m.select("thread_root", "id", ((F.col("_us") - F.col("_before")) / 3.6e9).alias("gap_hours")).filter("gap_hours >= 0")
 
 
 def quote_habits(mails: DataFrame) -> DataFrame:
@@ -84,6 +83,13 @@ def quote_habits(mails: DataFrame) -> DataFrame:
     return g.select("total", F.explode(F.array(*[F.struct(F.lit(k).alias("habit"), F.col(k).alias("n")) for k in flags])).alias("x")).select("x.habit", "x.n", F.expr("(x.n * 100) div total").alias("percent"))
 
 
+def new_content(mails: DataFrame) -> DataFrame:
+    """Over all bodies: lines and characters, how many are quoted and new, and the whole percent that is new."""
+    x = mails.filter("raw_body is not null and raw_body <> ''").select(tx.new_lines(F.col("raw_body")).alias("x")).select("x.*")
+    g = x.agg(F.count(F.lit(1)).alias("bodies"), *[F.sum(c).alias(c) for c in ("total_lines", "quoted_lines", "new_lines", "new_chars", "total_chars")])
+    return g.withColumn("new_percent", F.expr("(new_chars * 100) div total_chars"))
+
+
 def attachment_types(mails: DataFrame) -> DataFrame:
     """Attachments by content type: how many, in how many mails, and their bytes."""
     a = mails.select("id", F.explode("attachments").alias("a"))

@@ -30,6 +30,27 @@ def _pick(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def once(df: DataFrame, key: str, *order: Column) -> DataFrame:
+    """One row per key: the first in the order, then by what the row says; rows without a key all stay."""
+    named = keep_first(df.filter(F.col(key).isNotNull()), [key], *order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    return named.unionByName(df.filter(F.col(key).isNull()))
+
+
+def missing_fields(notes: DataFrame, fields: list[str]) -> DataFrame:
+    """Adds ``missing``: which of the fields a note must have are null."""
+    return notes.withColumn("missing", F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in fields])))
+
+
+def declared_resources(notes: DataFrame, column: str = "resource_links") -> DataFrame:
+    """``(note_id, resource_id)`` that notes declare, each once."""
+    return notes.select(F.col("id").alias("note_id"), F.explode(column).alias("resource_id")).filter("resource_id is not null").distinct()
+
+
+def rehearsed_resources(resources: DataFrame) -> DataFrame:
+    """Stand-ins of resources for a dry run: ``(resource_id, id)``, the id made of the resource's."""
+    return resources.select("resource_id").distinct().withColumn("id", F.concat(F.lit("dry-resource-"), "resource_id"))
+
+
 def merge_upsert(existing: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """``existing`` with the rows of ``updates``; ``updates`` has one row per key.  Applying it twice changes nothing."""
     return existing.join(updates.select(*keys), keys, "left_anti").select(*existing.columns).unionByName(updates.select(*existing.columns))
@@ -74,9 +95,9 @@ def tags(notes: DataFrame) -> DataFrame:
 
 def ingestion_counts(notes: DataFrame, existing_ids: DataFrame) -> DataFrame:
     """What an ingestion of notes would do: processed, skipped (blank), inserted, updated, tags and relations."""
-    once = notes.dropDuplicates(["id"])
+    one = once(notes, "id")
     blank = F.coalesce(F.trim("body"), F.lit("")) == ""
-    known = once.join(existing_ids.select(F.col("id"), F.lit(True).alias("_known")).distinct(), "id", "left")
+    known = one.join(existing_ids.select(F.col("id"), F.lit(True).alias("_known")).distinct(), "id", "left")
     counts = known.agg(F.count(F.lit(1)).alias("processed"), F.count_if(blank).alias("skipped"), F.count_if(~blank & F.col("_known").isNull()).alias("inserted"), F.count_if(~blank & F.col("_known").isNotNull()).alias("updated"))
-    rel = tags(once.filter(~blank)).agg(F.countDistinct("tag").alias("tags"), F.count(F.lit(1)).alias("relations"))
+    rel = tags(one.filter(~blank)).agg(F.countDistinct("tag").alias("tags"), F.count(F.lit(1)).alias("relations"))
     return counts.crossJoin(rel)

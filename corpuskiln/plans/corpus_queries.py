@@ -9,6 +9,7 @@ from corpuskiln.functions import text as tx
 from corpuskiln.operators import bursts as b
 from corpuskiln.operators import corpus as c
 from corpuskiln.operators import instants
+from corpuskiln.operators.store import once
 from corpuskiln.tables import table
 
 OWNER = "the owner"
@@ -16,7 +17,7 @@ OWNER = "the owner"
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
     """Chat messages as ``(id, thread_id, sender, at, text)``, each id once; a blank sender is the owner or Unknown."""
-    m = table(spark, d, "imessage_messages", "id", "thread_id", "sender_name", "message_type", "timestamp", "text").dropDuplicates(["id"])
+    m = once(table(spark, d, "imessage_messages", "id", "thread_id", "sender_name", "message_type", "timestamp", "text"), "id")
     return m.select("id", "thread_id", b.sender_of(F.col("sender_name"), F.col("message_type"), OWNER).alias("sender"), F.col("timestamp").alias("at"), "text")
 
 
@@ -126,7 +127,7 @@ def self_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def body_length_histogram(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "parsed_notes", "id", "body").dropDuplicates(["id"])
+    n = once(table(spark, d, "parsed_notes", "id", "body"), "id")
     return c.histogram(n, F.length("body"), [1, 200, 500, 1000, 2000, 5000])
 
 
@@ -149,7 +150,7 @@ def burst_details(spark: SparkSession, d: str) -> DataFrame:
 
 
 def burst_index(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "imessage_messages", "id", "thread_id", "timestamp", "text", "message_type").filter("lower(trim(coalesce(message_type, ''))) <> 'notification'").dropDuplicates(["id"])
+    m = once(table(spark, d, "imessage_messages", "id", "thread_id", "timestamp", "text", "message_type").filter("lower(trim(coalesce(message_type, ''))) <> 'notification'"), "id")
     return b.burst_bounds(m).select("thread_id", F.col("burst_index").cast("long").alias("burst_index"), "start_us", "n_messages")
 
 
@@ -161,7 +162,7 @@ def burst_contract(spark: SparkSession, d: str) -> DataFrame:
 
 def clean_texts(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of chat texts before and after cleaning, and whether they count as content."""
-    m = table(spark, d, "imessage_messages", "id", "text").dropDuplicates(["id"])
+    m = once(table(spark, d, "imessage_messages", "id", "text"), "id")
     return m.select("id", F.length(tx.clean_chat_text(F.col("text"))).alias("clean_length"), tx.is_content(F.col("text")).alias("is_content"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskiln.functions import ids
+from corpuskiln.functions import text as tx
 from corpuskiln.operators import bursts as b
 from corpuskiln.operators import corpus as c
 from corpuskiln.operators import mail_index as mi
@@ -97,9 +98,9 @@ def mail_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 def mail_directions(spark: SparkSession, d: str) -> DataFrame:
     """Mails by stored direction and by that of the rule, whether the owner's address is in the sender."""
-    owner = table(spark, d, "contacts", "is_self", "email_addresses").filter("is_self").select(F.explode("email_addresses").alias("a")).select(F.lower(F.trim("a")).alias("addr")).distinct()
-    m = table(spark, d, "email_messages", "id", "from_addr", "direction").withColumn("addr", F.lower(F.trim("from_addr"))).join(F.broadcast(owner.limit(100).withColumn("own", F.lit(True))), "addr", "left")
-    return m.groupBy(F.coalesce("direction", F.lit("?")).alias("stored"), F.when(F.col("own"), "sent").otherwise("received").alias("by_rule")).agg(F.count(F.lit(1)).alias("n"))
+    owner = b.owner_addresses(table(spark, d, "contacts", "is_self", "email_addresses"))
+    m = table(spark, d, "email_messages", "id", "from_addr", "direction")
+    return m.groupBy(F.coalesce("direction", F.lit("?")).alias("stored"), b.direction(F.col("from_addr"), owner).alias("by_rule")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def content_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -107,9 +108,36 @@ def content_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", ids.short_id(F.col("text")).alias("content_id"), ids.item_hash(F.col("text")).alias("item_hash"))
 
 
+def signatures_removed(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies without the lines that devices and scanners add: length."""
+    m = table(spark, d, "email_messages", "id", "raw_body").filter("raw_body is not null")
+    return m.select("id", F.length(tx.strip_signatures(F.col("raw_body"))).alias("chars"), F.length(tx.strip_quoted(F.col("raw_body"), signatures=True)).alias("own_chars"))
+
+
+def new_content(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the mail is new, and how much quoted."""
+    return mi.new_content(table(spark, d, "email_messages", "raw_body"))
+
+
+def mail_conversations_by_person(spark: SparkSession, d: str) -> DataFrame:
+    """Mails by their exact set of people, the addresses of one contact being one person."""
+    people = table(spark, d, "contacts", "id", "email_addresses").select(F.explode("email_addresses").alias("address"), F.col("id").alias("person"))
+    m = b.with_identities(table(spark, d, "email_messages", "id", "all_participants", "date").filter("all_participants is not null"), people)
+    return b.conversations_by_people(m).select("participant_hash", F.size("participants").alias("n_people"), "n_messages", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
+
+
+def mirrored_bursts(spark: SparkSession, d: str) -> DataFrame:
+    """Bursts beside note chunks in one table: mirrors made anew, the old ones gone."""
+    bursts = table(spark, d, "imessage_bursts", "id", "thread_name", "burst_index", "date_start", "text_combined", "resource_links", "privacy_tier")
+    chunks = table(spark, d, "retrieval_units", "id", "source_type", "source_id", "body", "privacy_tier")
+    chunks = chunks.select("id", "source_type", "source_id", F.col("body").alias("chunk_text"), "privacy_tier", F.length("body").alias("char_end"))
+    out = b.mirror_bursts(chunks, bursts)
+    return out.groupBy("source_type", "privacy_tier").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_id").alias("sources"), F.sum("char_end").alias("chars"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (human_senders, commercial_senders, search_like, folder_counts, contact_mails, contact_detail, downloads_pending, thread_roots, reply_gap_stats, gap_histogram, quote_habits, attachment_types, mail_bursts, mail_burst_summary, mail_burst_bodies, mail_conversations, mail_directions, content_ids)
+    for f in (human_senders, commercial_senders, search_like, folder_counts, contact_mails, contact_detail, downloads_pending, thread_roots, reply_gap_stats, gap_histogram, quote_habits, attachment_types, mail_bursts, mail_burst_summary, mail_burst_bodies, mail_conversations, mail_directions, content_ids, signatures_removed, new_content, mail_conversations_by_person, mirrored_bursts)
 }
 
 _FOLDER = r"nullif(regexp_replace(lower(trim(folder)), '[\s/]+$', ''), '')"
@@ -158,6 +186,24 @@ SQL = {
         SELECT thread_root, burst_index, subject, n_mails, dominant_sender, CASE WHEN n_participants <= 2 THEN 'bilateral' ELSE 'group' END AS thread_type, CAST(n_participants AS INT) AS n_participants FROM g JOIN l USING (thread_root, burst_index)""",
     "mail_conversations": f"SELECT sha256(array_to_string({_PEOPLE}, ',')) AS participant_hash, CAST(any_value(len({_PEOPLE})) AS INT) AS n_people, count(*) AS n_messages, epoch_us(min(date)) AS first_us, epoch_us(max(date)) AS last_us FROM email_messages WHERE all_participants IS NOT NULL GROUP BY 1",
     "mail_directions": """WITH o AS (SELECT DISTINCT lower(trim(unnest(email_addresses))) AS addr FROM contacts WHERE is_self)
-        SELECT coalesce(direction, '?') AS stored, CASE WHEN lower(trim(from_addr)) IN (SELECT addr FROM o) THEN 'sent' ELSE 'received' END AS by_rule, count(*) AS n FROM email_messages GROUP BY 1, 2""",
+        SELECT coalesce(direction, '?') AS stored, CASE WHEN EXISTS (SELECT 1 FROM o WHERE contains(lower(coalesce(from_addr, '')), addr)) THEN 'sent' ELSE 'received' END AS by_rule, count(*) AS n FROM email_messages GROUP BY 1, 2""",
+    "new_content": r"""
+        WITH l AS (SELECT raw_body, list_transform(string_split(raw_body, chr(10)), lambda x: regexp_replace(x, '\r$', '')) AS l FROM email_messages WHERE raw_body IS NOT NULL AND raw_body <> ''),
+        f AS (SELECT *, list_position(list_transform(l, lambda x: regexp_matches(x, '(?i)-{5,}\s*Forwarded message\s*-{5,}') AND NOT starts_with(trim(x), '>')), true) AS stop FROM l),
+        o AS (SELECT *, CASE WHEN stop > 0 THEN l[1:stop - 1] ELSE l END AS own FROM f),
+        q AS (SELECT *, list_position(list_transform(own, lambda x: regexp_matches(x, '^On .+ wrote:\s*$')), true) AS cut FROM o),
+        m AS (SELECT *, list_filter(CASE WHEN cut > 0 THEN own[1:cut - 1] ELSE own END, lambda x: NOT starts_with(ltrim(x), '>') AND NOT regexp_matches(x, '^Sent (from my (iPhone|iPad|Tricorder|BlackBerry)|via BlackBerry)')) AS mine FROM q),
+        c AS (SELECT len(l) AS a, len(list_filter(own, lambda x: starts_with(ltrim(x), '>') AND NOT regexp_matches(x, '^On .+ wrote:\s*$'))) AS b, len(mine) AS n, coalesce(list_sum(list_transform(mine, lambda x: length(x))), 0) AS nc, length(raw_body) AS tc FROM m)
+        SELECT count(*) AS bodies, CAST(sum(a) AS BIGINT) AS total_lines, CAST(sum(b) AS BIGINT) AS quoted_lines, CAST(sum(n) AS BIGINT) AS new_lines, CAST(sum(nc) AS BIGINT) AS new_chars, CAST(sum(tc) AS BIGINT) AS total_chars, CAST(sum(nc) * 100 // sum(tc) AS BIGINT) AS new_percent FROM c""",
+    "mail_conversations_by_person": """
+        WITH k AS (SELECT lower(trim(a)) AS address, min(id) AS person FROM (SELECT id, unnest(email_addresses) AS a FROM contacts) GROUP BY 1),
+        e AS (SELECT id, date, lower(trim(unnest(all_participants))) AS address FROM email_messages WHERE all_participants IS NOT NULL),
+        p AS (SELECT e.id, list_sort(list_distinct(list(coalesce(person, e.address)))) AS who FROM e LEFT JOIN k ON e.address = k.address GROUP BY 1),
+        m AS (SELECT email_messages.id, date, list_filter(list_transform(coalesce(who, []), lambda x: lower(trim(x))), lambda x: x <> '') AS who FROM email_messages LEFT JOIN p ON p.id = email_messages.id WHERE all_participants IS NOT NULL)
+        SELECT sha256(array_to_string(list_sort(who), ',')) AS participant_hash, CAST(any_value(len(who)) AS INT) AS n_people, count(*) AS n_messages, epoch_us(min(date)) AS first_us, epoch_us(max(date)) AS last_us FROM m GROUP BY 1""",
+    "mirrored_bursts": """
+        WITH x AS (SELECT source_type, source_id, privacy_tier, CAST(length(body) AS BIGINT) AS c FROM retrieval_units WHERE source_id IS NULL OR source_id NOT IN (SELECT id FROM imessage_bursts WHERE id IS NOT NULL)
+                   UNION ALL SELECT 'imessage', id, privacy_tier, coalesce(length(text_combined), 0) FROM imessage_bursts)
+        SELECT source_type, privacy_tier, count(*) AS n, count(DISTINCT source_id) AS sources, CAST(sum(c) AS BIGINT) AS chars FROM x GROUP BY 1, 2""",
     "content_ids": "SELECT doc_id, substr(sha256(text), 1, 32) AS content_id, substr(sha256(text), 1, 16) AS item_hash FROM documents",
 }

@@ -14,7 +14,7 @@ from corpuskiln.tables import table
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "parsed_notes", "id", "title", "notebook", "body", "tags", "created_at", "source_type").dropDuplicates(["id"])
+    return st.once(table(spark, d, "parsed_notes", "id", "title", "notebook", "body", "tags", "created_at", "source_type"), "id")
 
 
 def doc_lines_offsets(spark: SparkSession, d: str) -> DataFrame:
@@ -158,11 +158,41 @@ def first_copies(spark: SparkSession, d: str) -> DataFrame:
     return cu.once_per_item(i, "title", F.when(F.col("source") == "feed", 0).otherwise(1), F.col("item")).select("title", "item")
 
 
+def resource_stubs(spark: SparkSession, d: str) -> DataFrame:
+    """Resources that notes declare, as a dry run would have them, and how many notes use each."""
+    r = st.declared_resources(table(spark, d, "parsed_notes", "id", "resource_links"))
+    return st.rehearsed_resources(r).join(r.groupBy("resource_id").agg(F.count(F.lit(1)).alias("notes")), "resource_id")
+
+
+def note_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Exported notes by which of the required fields they lack."""
+    n = st.missing_fields(table(spark, d, "parsed_notes", "id", "title", "body", "notebook", "created_at"), ["id", "title", "body", "notebook", "created_at"])
+    return n.groupBy(F.array_join("missing", ",").alias("missing")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def thread_density(spark: SparkSession, d: str) -> DataFrame:
+    """Threads by kind, with how many bursts an earlier ingestion connected to each."""
+    t = table(spark, d, "imessage_threads", "id", "thread_type").withColumnRenamed("id", "thread_id")
+    c = cu.connection_density(t, table(spark, d, "imessage_bursts", "thread_id"), "thread_id")
+    return c.groupBy("thread_type").agg(F.count(F.lit(1)).alias("threads"), F.sum("connection_density").alias("connections"), F.max("connection_density").alias("most"))
+
+
+def malformed_items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as feed items, by language: well formed and skipped."""
+    good, bad = cu.well_formed(_items(spark, d), "title", "source")
+    both = good.withColumn("ok", F.lit(1)).unionByName(bad.withColumn("ok", F.lit(0)))
+    return both.groupBy("lang").agg(F.sum("ok").alias("published"), F.sum(1 - F.col("ok")).alias("skipped"))
+
+
+def kept_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return cu.kept_by(_decided(spark, d).filter("source is not null"), "source")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         doc_lines_offsets, archetype_counts, note_chunks, chunk_lengths, dated_headings, iso_dates, stripped_markup, note_resources, html_text, simply_stripped, keyword_search, note_tags, notebook_universe, ingestion_counts,
-        upsert_merge, upsert_actions, replace_where, latest_mail_copy, editor_apply, editor_trim, kills_by_source, fresh_items, first_copies,
+        upsert_merge, upsert_actions, replace_where, latest_mail_copy, editor_apply, editor_trim, kills_by_source, fresh_items, first_copies, resource_stubs, note_validation, thread_density, malformed_items, kept_by_source,
     )
 }
 
@@ -193,5 +223,11 @@ SQL = {
     "kills_by_source": f"WITH {_DEC} SELECT source, count(*) AS items, count(*) FILTER (decision = 'KEEP') AS kept, round(1 - CAST(count(*) FILTER (decision = 'KEEP') AS DOUBLE) / count(*), 2) AS kill_rate FROM x WHERE source IS NOT NULL GROUP BY 1",
     "fresh_items": f"""WITH {_I}, t AS (SELECT * FROM i WHERE source IS NOT NULL AND (published IS NULL OR published < TIMESTAMP '2025-01-01') QUALIFY row_number() OVER (PARTITION BY source ORDER BY published DESC NULLS LAST, item) <= 20)
         SELECT source, item FROM t WHERE published IS NULL OR published >= TIMESTAMP '2024-12-25'""",
+    "resource_stubs": "WITH r AS (SELECT DISTINCT id, unnest(resource_links) AS resource_id FROM parsed_notes) SELECT resource_id, 'dry-resource-' || resource_id AS id, count(*) AS notes FROM r WHERE resource_id IS NOT NULL GROUP BY 1",
+    "note_validation": "SELECT concat_ws(',', CASE WHEN id IS NULL THEN 'id' END, CASE WHEN title IS NULL THEN 'title' END, CASE WHEN body IS NULL THEN 'body' END, CASE WHEN notebook IS NULL THEN 'notebook' END, CASE WHEN created_at IS NULL THEN 'created_at' END) AS missing, count(*) AS n FROM parsed_notes GROUP BY 1",
+    "thread_density": """WITH b AS (SELECT thread_id, count(*) AS n FROM imessage_bursts GROUP BY 1), t AS (SELECT id, thread_type, coalesce(n, 0) AS n FROM imessage_threads LEFT JOIN b ON id = b.thread_id)
+        SELECT thread_type, count(*) AS threads, CAST(sum(n) AS BIGINT) AS connections, max(n) AS most FROM t GROUP BY 1""",
+    "malformed_items": f"WITH {_I}, x AS (SELECT lang, trim(coalesce(title, '')) <> '' AND trim(coalesce(source, '')) <> '' AS ok FROM i) SELECT lang, count(*) FILTER (ok) AS published, count(*) FILTER (NOT ok) AS skipped FROM x GROUP BY 1",
+    "kept_by_source": f"WITH {_DEC} SELECT source, count(*) AS kept FROM x WHERE source IS NOT NULL AND decision = 'KEEP' GROUP BY 1",
     "first_copies": f"WITH {_I} SELECT title, item FROM i WHERE title IS NOT NULL QUALIFY row_number() OVER (PARTITION BY title ORDER BY CASE WHEN source = 'feed' THEN 0 ELSE 1 END, item) = 1",
 }

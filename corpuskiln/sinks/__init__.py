@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A report shows at most so many rows of a table; the table itself isn't cut.
-REPORT_ROWS = 200
+#: A report is read by people: a table of more rows than this is refused, not cut.
+REPORT_ROWS = 10_000
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None, dry_run: bool = False) -> None:
@@ -36,8 +36,10 @@ def item_line(title: Column, url: Column, source: Column, note: Column) -> Colum
 
 
 def markdown(title: str, df: DataFrame) -> str:
-    """A small frame as a Markdown table."""
-    rows = df.limit(REPORT_ROWS).collect()
+    """A small frame as a Markdown table; give the few rows that are to be read."""
+    rows = df.limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report of more than {REPORT_ROWS} rows")
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
