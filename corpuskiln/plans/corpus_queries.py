@@ -181,7 +181,7 @@ _M = f"""
 _CONTENT = r"(trim(text) <> '' AND NOT regexp_matches(text, '^(Liked |Loved |Disliked |Laughed at |Emphasized |Questioned )'))"
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 _TOKENS = rf"list_filter(regexp_extract_all(lower(regexp_replace(text, 'https?://\S+|www\.\S+', ' ', 'g')), '[a-z'']+'), lambda w: length(w) > 2 AND NOT list_contains([{_STOP}], w))"
-_SENT = "s AS (SELECT DISTINCT date_trunc('month', date)::DATE AS mo FROM email_messages WHERE has_attachments AND direction = 'sent' AND date IS NOT NULL), span AS (SELECT unnest(generate_series((SELECT min(mo) FROM s), (SELECT max(mo) FROM s), INTERVAL 1 MONTH))::DATE AS mo), q AS (SELECT mo FROM span WHERE mo NOT IN (SELECT mo FROM s))"
+_MONTHS = "s AS (SELECT DISTINCT date_trunc('month', date)::DATE AS mo FROM email_messages WHERE date IS NOT NULL), span AS (SELECT unnest(generate_series((SELECT min(mo) FROM s), (SELECT max(mo) FROM s), INTERVAL 1 MONTH))::DATE AS mo), q AS (SELECT mo FROM span WHERE mo NOT IN (SELECT mo FROM s))"
 
 
 def _finger(source: str) -> str:
@@ -202,11 +202,9 @@ _WC = f"SELECT sender, word, count(*) AS n FROM (SELECT sender, unnest({_TOKENS}
 SQL = {
     "volume_by_month": f"WITH {_M} SELECT strftime(stamp, '%Y-%m') AS period, count(*) AS n FROM m WHERE stamp IS NOT NULL GROUP BY 1",
     "volume_by_year": f"WITH {_M} SELECT strftime(stamp, '%Y') AS period, count(*) AS n FROM m WHERE stamp IS NOT NULL GROUP BY 1",
-    "silent_months": f"WITH {_SENT} SELECT strftime(mo, '%Y-%m') AS month FROM q",
-    "silence_periods": f"""WITH {_SENT}, k AS (SELECT mo, year(mo) * 12 + month(mo) - row_number() OVER (ORDER BY mo) AS k FROM q)
+    "silent_months": f"WITH {_MONTHS} SELECT strftime(mo, '%Y-%m') AS month FROM q",
+    "silence_periods": f"""WITH {_MONTHS}, k AS (SELECT mo, year(mo) * 12 + month(mo) - row_number() OVER (ORDER BY mo) AS k FROM q)
         SELECT strftime(min(mo), '%Y-%m') AS first_month, strftime(max(mo), '%Y-%m') AS last_month, count(*) AS months FROM k GROUP BY k HAVING count(*) >= 2""",
-    "missing_years": r"""WITH y AS (SELECT DISTINCT CAST(substr(created_at, 1, 4) AS INT) AS y FROM parsed_notes WHERE regexp_matches(created_at, '^20\d\d-06-15'))
-        SELECT CAST(g AS INT) AS year FROM (SELECT unnest(generate_series((SELECT min(y) FROM y), (SELECT max(y) FROM y))) AS g) WHERE g NOT IN (SELECT y FROM y)""",
     "peak_day": f"""WITH {_M}, v AS (SELECT strftime(stamp, '%Y-%m-%d') AS p, count(*) AS n FROM m WHERE stamp IS NOT NULL GROUP BY 1)
         SELECT (SELECT p FROM v ORDER BY n DESC, p LIMIT 1) AS peak, max(n) AS peak_n, (SELECT p FROM v ORDER BY n, p LIMIT 1) AS quietest, min(n) AS quietest_n FROM v""",
     "sender_dynamics": f"""WITH {_M}, v AS (SELECT sender, count(*) AS n_messages FROM m GROUP BY 1), bu AS (SELECT dominant_sender AS sender, count(*) AS n_bursts FROM imessage_bursts WHERE dominant_sender <> '' GROUP BY 1),

@@ -92,7 +92,7 @@ def embeddings_of_units(spark: SparkSession, d: str) -> DataFrame:
     """Deterministic embeddings of unit bodies that aren't blank: norm and first coordinates."""
     u = table(spark, d, "retrieval_units", "id", "body").filter("trim(body) <> ''")
     e = u.select("id", vectors.deterministic_embedding(F.col("body"), 64).alias("e"))
-    return e.select("id", F.size("e").alias("dims"), F.round(F.sqrt(vectors.dot(F.col("e"), F.col("e"))), 4).alias("norm"))
+    return e.select("id", F.size("e").alias("dims"), F.round(F.sqrt(vectors.dot(F.col("e"), F.col("e"))), 4).alias("norm"), F.slice("e", 1, 4).alias("first"))
 
 
 QUERIES = {f.__name__: f for f in (match_chunks_topk, match_by_label, match_tier_ceiling, similar_above_threshold, match_multi_query, label_centroid_similarity, hybrid_search, units_with_provenance, notes_without_units, threads_with_bursts, embeddings_of_units)}
@@ -125,5 +125,4 @@ SQL = {
     "notes_without_units": f"""
         SELECT notebook, count(DISTINCT id) AS n FROM parsed_notes WHERE id NOT IN (SELECT {_NOTE_KEY} FROM retrieval_units WHERE source_type IN ('joplin', 'obsidian')) GROUP BY notebook""",
     "threads_with_bursts": "SELECT thread_type, privacy_tier, count(*) AS n FROM imessage_threads WHERE id IN (SELECT thread_id FROM imessage_bursts) GROUP BY ALL",
-    "embeddings_of_units": "SELECT id, 64 AS dims, CAST(1 AS DOUBLE) AS norm FROM retrieval_units WHERE trim(body) <> ''",
 }

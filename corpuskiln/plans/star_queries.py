@@ -38,8 +38,12 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def customers_without_orders(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer", "c_custkey", "c_mktsegment")
-    return c.join(table(spark, d, "orders", "o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    """Per segment: customers, those without any order, and those without an urgent one."""
+    c, o = table(spark, d, "customer", "c_custkey", "c_mktsegment"), table(spark, d, "orders", "o_custkey", "o_orderpriority")
+    none = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_mktsegment", F.lit("none").alias("what"))
+    calm = c.join(o.filter("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_mktsegment", F.lit("calm").alias("what"))
+    every = c.select("c_mktsegment", F.lit("all").alias("what")).unionByName(none).unionByName(calm)
+    return every.groupBy("c_mktsegment").agg(*[F.count_if(F.col("what") == w).alias(n) for w, n in (("all", "customers"), ("none", "without_orders"), ("calm", "without_urgent"))])
 
 
 def best_orders_per_customer(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +100,8 @@ SQL = {
     "pricing_summary": f"SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum({_REV}), 2) AS sum_paid, round(avg(l_discount), 6) AS avg_discount, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",
     "top_orders": f"SELECT l_orderkey, o_orderdate, round(sum({_REV}), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1, 2 ORDER BY revenue DESC, l_orderkey LIMIT 10",
     "revenue_by_nation": f"SELECT r_name, n_name, round(sum(r), 2) AS revenue, count(*) AS suppliers FROM (SELECT l_suppkey, sum({_REV}) AS r FROM lineitem GROUP BY 1) JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
-    "customers_without_orders": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1",
+    "customers_without_orders": """SELECT c_mktsegment, count(*) AS customers, count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders)) AS without_orders,
+        count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')) AS without_urgent FROM customer GROUP BY 1""",
     "best_orders_per_customer": "SELECT o_orderkey, o_custkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS place FROM orders QUALIFY place <= 3",
     "orders_by_month": "SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2",
     "part_demand": "WITH g AS (SELECT p_type, p_brand, sum(l_quantity) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT *, round(avg(quantity) OVER (PARTITION BY p_type), 4) AS type_mean FROM g",
