@@ -7,10 +7,11 @@ exceeds the capacity is cut into full containers and a rest; no other one is
 split.
 
 Shape at scale: only ``(doc_id, tokens)`` is shuffled.  Groups hold about
-``GROUP_ITEMS`` items each, whatever the input: their number follows the row
-count and rows are dealt to them by hash, copies of a document too, so no
+``GROUP_ITEMS`` items each, whatever the input: tokens are counted and
+checkpointed first, so that the number of groups of each kind follows its
+pieces, and rows are dealt to groups by hash, copies of a document too, so no
 group is hot.  The last, emptier containers of a group are the only loss: of
-thousands.
+thousands.  Which group a row gets depends on its place among the others.
 
 Nulls and empty texts have no tokens and fill no container; they aren't
 listed.  Ties are ordered by document.  Without a usable capacity (null, zero
@@ -27,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.llm.tokens import TOKENIZER, with_tokens
+from corpuskiln.session import cut_lineage
 
 GROUP_ITEMS = 20_000
+MAX_KINDS = 2_000
 
 
 def first_fit(sizes: list[int], capacity: int) -> list[int]:
@@ -70,15 +73,20 @@ def containers(documents: DataFrame, sizes: DataFrame, tokenizer: str = TOKENIZE
     A container is named by kind, group and number; ``piece`` counts the parts
     of a document that exceeds the capacity, from 0.
     """
-    groups = max(1, math.ceil(documents.select("doc_id").count() / group_items))  # answered by the files' footers
     docs = documents.select("doc_id", "text").filter("text is not null and text <> ''").withColumn("_row", F.monotonically_increasing_id())
-    items = with_tokens(docs, "text", tokenizer).filter("tokens > 0")
-    kinds = sizes.select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")).filter("container_kind is not null and capacity > 0").dropDuplicates(["container_kind"])
-    each = items.crossJoin(F.broadcast(kinds.limit(1000)))  # a few kinds of containers: the limit only proves it
+    items = cut_lineage(with_tokens(docs, "text", tokenizer).filter("tokens > 0").select("doc_id", "_row", "tokens"))
+    kinds = sizes.select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")).filter("container_kind is not null and capacity > 0").groupBy("container_kind").agg(F.min("capacity").alias("capacity"))
+    known = kinds.limit(MAX_KINDS + 1).collect()
+    if len(known) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of containers: pack them in turns")
+    # a row of counts: the pieces of each kind, whose groups are sized by them
+    pieces = items.agg(*[F.sum(F.expr(f"(tokens - 1) div {int(k['capacity'])} + 1")).alias(f"k{i}") for i, k in enumerate(known)]).first() if known else []
+    sized = [F.struct(F.lit(k["container_kind"]).alias("container_kind"), F.lit(int(k["capacity"])).cast("long").alias("capacity"), F.lit(max(1, math.ceil((n or 0) / group_items))).alias("groups")) for k, n in zip(known, pieces)]
+    each = items.withColumn("_k", F.explode(F.array(*sized) if sized else F.array().cast("array<struct<container_kind:string,capacity:bigint,groups:int>>"))).select("doc_id", "_row", "tokens", "_k.*")
     parts = F.expr("sequence(0L, (tokens - 1) div capacity)")
     cut = each.withColumn("piece", F.explode(parts)).withColumn("tokens", F.least(F.col("capacity"), F.col("tokens") - F.col("piece") * F.col("capacity"))).withColumn("piece", F.col("piece").cast("int"))
     # the place of a row among others keeps copies of one document apart; pieces of a long one are dealt apart too
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "_row", "piece"), F.lit(groups)).cast("int")).drop("_row")
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "_row", "piece"), F.col("groups")).cast("int")).drop("_row", "groups")
     kind = documents.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("container_kind", "grp").applyInPandas(_pack, f"container_kind string, capacity long, grp int, container_no long, doc_id {kind}, piece int, tokens long")
 

@@ -98,3 +98,15 @@ def test_mixture(spark):
     small = M.shares(M.mixture(d, t, total=1000), t).agg(F.sum("tokens")).collect()[0][0]
     assert 950 <= small <= 1000
     assert M.mixture(d.limit(0), t).count() == 0
+
+
+def test_many_kinds_and_groups_by_pieces(spark):
+    docs = spark.createDataFrame([(i, "word " * (5 + i % 7)) for i in range(40)] + [(99, "word " * 400)], "doc_id long, text string")
+    sizes = spark.createDataFrame([(f"k{i}", 16 + i) for i in range(1001)], "container_kind string, capacity_tokens int")
+    got = K.containers(docs, sizes)
+    assert got.select("container_kind").distinct().count() == 1001
+    few = K.containers(docs, sizes.filter("container_kind = 'k0'"), group_items=10).toPandas()
+    n = len(few)
+    assert few["grp"].nunique() > n / 20 and few.groupby(["grp", "container_no"])["tokens"].sum().max() <= 16
+    assert few.groupby("doc_id")["tokens"].sum().sum() == K.containers(docs, spark.createDataFrame([("x", 10**6)], "container_kind string, capacity_tokens int")).toPandas()["tokens"].sum()
+    assert K.containers(docs, sizes.limit(0)).count() == 0
