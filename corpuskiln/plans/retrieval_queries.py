@@ -109,7 +109,7 @@ SQL = {
     "match_multi_query": f"""
         SELECT query, vec_id, round(s, 6) AS similarity, CAST(rank AS INT) AS rank FROM (
           SELECT q.vec_id AS query, c.vec_id, {_COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS rank
-          FROM embeddings c, embeddings q WHERE q.vec_id % 100 = 0 AND q.vec_id < 1000) WHERE rank <= 3""",
+          FROM embeddings c, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 3""",
     "label_centroid_similarity": f"SELECT notebook, count(*) AS n, round(avg(s), 6) AS mean_similarity, round(max(s), 6) AS best FROM ({_ALL} 0) GROUP BY notebook",
     "hybrid_search": f"""
         WITH a AS ({_ALL} 0), c AS (
