@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuskiln.operators import store as st
 from corpuskiln.streaming import jobs
+from corpuskiln.session import shared_folder
 from corpuskiln.tables import table
 
 
@@ -84,7 +84,7 @@ def streamed_sessions(spark: SparkSession, d: str) -> DataFrame:
 
     Sessions that later events could still extend aren't out yet.
     """
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='corpuskiln-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     s = spark.readStream.schema(schema).parquet(f"{d}/events.parq*").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     out = jobs.streaming_bursts(s, "user_id", "ts")

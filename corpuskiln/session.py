@@ -23,20 +23,24 @@ def get_spark(app: str = "corpuskiln", master: str = "local[*]", shuffle_partiti
     return b.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    The folder is read from the session.  Only where it is unset and Spark runs
-    on this machine alone (tests) a temporary one is taken; on a cluster that
-    is an error.
+    Only where that is unset and Spark runs on this machine alone (tests) it is
+    a temporary one; on a cluster that is an error.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if folder is None and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="corpuskiln-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` in the folder that the session has set, else in :func:`shared_folder`."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpuskiln-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
