@@ -177,7 +177,7 @@ def fit(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         f = n / total
         q = 0.9 * f.mean(1, keepdims=True) + 0.1 / len(n)
         p = np.log((1 - new) * f + new * q)
-        return np.asfortranarray((weight * np.clip(p[:, 1:] - p[:, :1], -8, 8)).astype(np.float32))
+        return np.ascontiguousarray(weight * np.clip(p[:, 1:] - p[:, :1], -8, 8), np.float32)
 
     return ratios(five, 0.7), ratios(three, 0.3)
 
@@ -191,16 +191,17 @@ def _read_block(b: np.ndarray, h5: np.ndarray, h3: np.ndarray, model: tuple[np.n
     at = np.arange(n)
     hi = np.minimum(at + WINDOW // 2 + 1, np.repeat(np.append(ends, n)[: len(first)], long))
     lo = np.maximum(at - WINDOW // 2, np.repeat(first, long))
-    s, top, label = np.zeros(n + 1), np.zeros(n), np.zeros(n, np.uint8)
-    # no index is out of range; without the check for that, take is much faster
-    for k in range(len(CLASSES) - 1):
-        np.cumsum(model[0][:, k].take(h5, mode="clip") + model[1][:, k].take(h3, mode="clip"), dtype=np.float64, out=s[1:])
-        score = s.take(hi, mode="clip") - s.take(lo, mode="clip")
-        label[score > top] = k + 1
-        np.maximum(top, score, out=top)
-        if k + 1 == 3:
-            open_ = score > 0
-    return label | open_.astype(np.uint8) << 3
+    # the ratios of a byte stand side by side, one row of each table; no index is out of range, and without the check for that, take is much faster
+    s = np.zeros((n + 1, len(CLASSES) - 1))
+    np.cumsum(model[0].take(h5, axis=0, mode="clip") + model[1].take(h3, axis=0, mode="clip"), axis=0, dtype=np.float64, out=s[1:])
+    score = s.take(hi, axis=0, mode="clip") - s.take(lo, axis=0, mode="clip")
+    top, label = score[:, 0], np.ones(n, np.uint8)
+    for k in range(1, len(CLASSES) - 1):
+        better = score[:, k] > top
+        label[better] = k + 1
+        top = np.maximum(top, score[:, k])
+    label[top <= 0] = 0
+    return label | (score[:, 2] > 0).astype(np.uint8) << 3
 
 
 def _read_piece(b: np.ndarray, model: tuple[np.ndarray, np.ndarray], hashes: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
@@ -371,7 +372,8 @@ def _count_piece(b: np.ndarray, model: tuple[np.ndarray, np.ndarray] | None, int
     for h, bits, begin in ((hashes[0], BITS5, 0), (hashes[1], BITS3, AT3)):
         into[begin : begin + (1 << bits)] += np.bincount(h[of == 0], minlength=1 << bits)
         rest = np.flatnonzero(of > 0)
-        np.add.at(into, begin + (of[rest] << bits) + h[rest], 1)
+        at, times = np.unique((of[rest] << bits) + h[rest], return_counts=True)
+        into[begin + at] += times
     into[AT_LINES:] += np.bincount(kind[kind >= 0], minlength=len(CLASSES))
 
 
