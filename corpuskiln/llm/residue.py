@@ -46,7 +46,7 @@ from corpuskiln.session import spread
 
 WINDOW = 28
 COVERAGE = 0.4
-ROUNDS = 4
+ROUNDS = 3
 #: From this coverage on, the rounds learn all lines of a text as residue.
 LEARN = 0.25
 #: Bytes that are read at once, and of these in the processor's cache.
