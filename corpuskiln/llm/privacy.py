@@ -211,6 +211,7 @@ def learned_names(texts: DataFrame, given: list[str]) -> list[str]:
     pair = F.explode(F.regexp_extract_all("text", F.lit(_PAIR), F.lit(1))).alias("p")
     n = texts.filter("text is not null").select(pair).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     n = n.select(F.lower(F.substring_index("p", " ", 1)).alias("x"), F.lower(F.substring_index("p", " ", -1)).alias("y"), "n").groupBy("x", "y").agg(F.sum("n").alias("n"))
+    n = cut_lineage(n)  # used several times: texts are read once
     is_given = lambda c: F.col(c).isin(known)
     before = n.filter(is_given("x") & ~is_given("y")).groupBy("y").agg(F.count(F.lit(1)).alias("givens")).filter("givens >= 2").select("y", F.lit(True).alias("family"))
     new = n.filter(~is_given("x") & ~F.col("x").isin(TITLES)).join(before, "y", "left")
