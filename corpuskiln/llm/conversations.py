@@ -168,7 +168,7 @@ def clock_offsets(said: DataFrame) -> DataFrame:
     return edges.join(broken, "thread_id", "left_semi").groupBy("thread_id").applyInPandas(_solve, "thread_id string, sender string, offset_us long, conflicts int, rejected boolean")
 
 
-def verdicts(said: DataFrame, threads: DataFrame, reject_conflicts: bool = False) -> DataFrame:
+def verdicts(said: DataFrame, threads: DataFrame, reject_conflicts: bool = False, offsets: DataFrame | None = None) -> DataFrame:
     """``(thread_id, n_messages, conflicts, verdict)`` of every thread of ``threads``; a null verdict keeps it.
 
     ``conflicts`` counts the echoes that stand before their messages because
@@ -184,7 +184,7 @@ def verdicts(said: DataFrame, threads: DataFrame, reject_conflicts: bool = False
     )
     ids = threads.select(F.col("id").alias("thread_id")).filter("thread_id is not null").distinct()
     v = F.when(F.coalesce("n_messages", F.lit(0)) == 0, "empty").when(F.col("_untimed") > 0, "untimed").when(F.col("_roleless") > 0, "roleless").when((F.col("_owner") == 0) | (F.col("_other") == 0), "unanswered")
-    clash = clock_offsets(said).groupBy("thread_id").agg(F.max("conflicts").alias("_conflicts"), F.bool_or("rejected").alias("_rejected"))
+    clash = (clock_offsets(said) if offsets is None else offsets).groupBy("thread_id").agg(F.max("conflicts").alias("_conflicts"), F.bool_or("rejected").alias("_rejected"))
     if reject_conflicts:
         v = v.when(F.col("_rejected"), "conflicting")
     out = ids.join(per, "thread_id", "left").join(clash, "thread_id", "left")
@@ -193,8 +193,9 @@ def verdicts(said: DataFrame, threads: DataFrame, reject_conflicts: bool = False
 
 def merged(said: DataFrame, threads: DataFrame, reject_conflicts: bool = True) -> DataFrame:
     """The messages of the threads that are kept, times corrected, with ``position`` and ``new_turn``; hashes for the text."""
-    good = verdicts(said, threads, reject_conflicts).filter("verdict is null").select("thread_id")
-    moved = clock_offsets(said).filter("offset_us <> 0").select("thread_id", "sender", "offset_us")
+    offsets = cut_lineage(clock_offsets(said))  # a few rows, used twice
+    good = verdicts(said, threads, reject_conflicts, offsets).filter("verdict is null").select("thread_id")
+    moved = offsets.filter("offset_us <> 0").select("thread_id", "sender", "offset_us")
     timed = said.filter("at_us is not null").join(moved, ["thread_id", "sender"], "left")
     timed = timed.withColumn("at_us", F.col("at_us") + F.coalesce("offset_us", F.lit(0))).drop("offset_us", "_quoted", "_said")
     return in_turn(timed, "thread_id", "at_us", F.struct("role", "sender"), "_echo", "_key", only=good)
