@@ -51,7 +51,7 @@ def chat_bursts(messages: DataFrame, owner: str, gap_us: int = GAP_US) -> DataFr
     that the burst touches: no message meets another.
     """
     m = messages.filter(F.col("thread_id").isNotNull() & F.col("timestamp").isNotNull() & ~is_notification(F.col("message_type")))
-    m = once(m, "id", F.col("created_at"))
+    m = once(m, "id", *[F.col(c) for c in ("created_at",) if c in m.columns])
     m = m.withColumn("t", F.unix_micros("timestamp")).withColumn("sender", sender_of(F.col("sender_name"), F.col("message_type"), owner))
     day = 86_400_000_000
     b = burst_bounds(m, gap_us).withColumn("_day", F.explode(F.sequence(F.expr(f"start_us div {day}"), F.expr(f"end_us div {day}"))))
